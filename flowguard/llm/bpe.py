@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -254,7 +255,7 @@ def decode(frame: DataFrame, spec_json: str, ids: str = "token_ids", text: str =
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 column = part.column(ids)
-                counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 tokens = column.flatten().to_numpy(zero_copy_only=False)
                 n = size[tokens]
                 ends = np.cumsum(n)
