@@ -12,6 +12,7 @@ the state that the shorter prefix ended in. Decoding emits the labels of the arc
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from bisect import bisect_right
@@ -20,16 +21,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import slices
 
 #: Fixed values of the published tokenizer format: how text is cut into words, and which bytes stand for themselves.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+"
 VISIBLE = [(33, 126), (161, 172), (174, 255)]
-WHITE_SPACE = "[\t-\r \u0085   -     　]"
+#: Fixed values of Unicode: white space; letters, numbers and (first, last, shift) of lower case that versions after 15 added.
+WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+]
 #: Distinct pieces of text whose tokens a task keeps at hand; beyond it the memory starts afresh.
 MOST_KNOWN = 600_000
 _ROOT = 0
@@ -43,6 +54,31 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _members(kind: str, new: list[tuple[int, int]]) -> str:
+    """The code points of a general category as the inside of a character class."""
+    held = [unicodedata.category(chr(i))[0] == kind for i in range(0x110000)]
+    for low, high in new:
+        held[low : high + 1] = [True] * (high + 1 - low)
+    out, at = [], 0
+    while at < len(held):
+        if held[at]:
+            end = held.index(False, at)
+            out.append(f"\\U{at:08x}-\\U{end - 1:08x}")
+            at = end
+        at += 1
+    return "".join(out)
+
+
+_patterns: list[re.Pattern] = []
+
+
+def word_pattern() -> re.Pattern:
+    """The pattern of words, compiled once in each process."""
+    if not _patterns:
+        _patterns.append(re.compile(WORD_PATTERN.format(letter=_members("L", NEW_LETTERS), number=_members("N", NEW_NUMBERS), space=WHITE_SPACE)))
+    return _patterns[0]
+
+
 class Automaton:
     """States, and for each token its label, the state it leads to and the merge that made it."""
 
@@ -157,10 +193,11 @@ class Encoder:
 
     def __init__(self, spec_json: str):
         self.automaton = Automaton(json.loads(spec_json))
-        self.words = regex.compile(WORD_PATTERN)
-        self.space = regex.compile(WHITE_SPACE + "+")
+        self.words = word_pattern()
+        self.space = re.compile(f"[{WHITE_SPACE}]+")
+        self.lower = {i: i + shift for low, high, shift in NEW_LOWER for i in range(low, high + 1)}
         special = sorted(self.automaton.special, key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, bytes] = {}
         self.by_word: dict[str, list[int]] = {}
 
@@ -175,7 +212,7 @@ class Encoder:
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
             # Lower case is taken character by character: a final sigma has no form of its own.
-            text = "".join(c.lower() for c in self.space.sub(" ", unicodedata.normalize("NFC", text)))
+            text = "".join([c.lower() for c in self.space.sub(" ", unicodedata.normalize("NFC", text)).translate(self.lower)])
         else:
             text = text.lower()
         out: list[int] = []
