@@ -144,7 +144,7 @@ def records(content: bytes) -> Iterator[bytes]:
             raise ValueError("the leading frame holds no dictionary")
         packer, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)), 8 + size
     while at < len(data):
-        if len(data) - at < 6:
+        if len(data) - at < 8:
             raise ValueError("a frame is cut off")
         magic = struct.unpack_from("<I", data, at)[0]
         if magic & 0xFFFFFFF0 == 0x184D2A50:  # any other skippable frame
