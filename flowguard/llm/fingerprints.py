@@ -40,11 +40,12 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     rows = rows.select(*keys, "_at", _weight(F.col("_term")).alias("_w"), F.xxhash64("_term").alias("_h"))
     lanes = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(_LANES) * F.col("_w")).alias(f"_v{i}") for i in range(BITS // 2)]
     votes = rows.groupBy(*keys).agg(F.count_if(F.col("_at") == 0).alias("n_rows"), F.sum("_w").alias("_all"), *lanes)
-    out = F.lit(0).cast("long")
-    for i in range(BITS // 2):
-        low, high = F.col(f"_v{i}").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(f"_v{i}", 32)
-        for bit, lane in ((i, low), (i + 32, high)):
-            out = out.bitwiseOR(F.when(lane * 2 > F.col("_all"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    # Once for each text, so an interpreted fold will do; as one expression it would be a very large method.
+    counters = F.array(*[F.col(f"_v{i}") for i in range(BITS // 2)])
+    low = F.transform(counters, lambda v: (v.bitwiseAND(0xFFFFFFFF) * 2 > F.col("_all")).cast("long"))
+    high = F.transform(counters, lambda v: (F.shiftrightunsigned(v, 32) * 2 > F.col("_all")).cast("long"))
+    # Bits from the highest to the lowest; doubling by addition of equal parts would overflow, a shift doesn't.
+    out = F.aggregate(F.reverse(F.concat(low, high)), F.lit(0).cast("long"), lambda x, bit: F.shiftleft(x, 1).bitwiseOR(bit))
     return votes.select(*keys, "n_rows", out.alias("fingerprint"))
 
 
