@@ -149,32 +149,54 @@ def align(queries: DataFrame, index: DataFrame, most_error: float = 0.25, least_
 _TONES = 36
 
 
+def _tones() -> np.ndarray:
+    t = np.arange(HOP) / RATE
+    return np.stack([np.sin(2 * np.pi * 110 * 2 ** (i / 12) * t) + 0.3 * np.sin(4 * np.pi * 110 * 2 ** (i / 12) * t) for i in range(_TONES)]) * 9000
+
+
+def _render(vec_id: object, vector: object, tones: np.ndarray) -> tuple[bytes, bytes | None]:
+    """A recording and, for every 20th id, its clip."""
+    x = np.nan_to_num(np.array([] if vector is None else vector, np.float64), nan=-1.0)
+    notes = np.clip((x + 0.4) / 0.8 * _TONES, 0, _TONES - 1).astype(int)
+    sound, n = tones[notes].reshape(-1), len(notes)
+    if pd.isna(vec_id) or vec_id % 20:
+        return wav(sound), None
+    cut = sound[n // 4 * HOP : (n - n // 4) * HOP] * 0.6
+    return wav(sound), wav(cut + np.random.default_rng(int(vec_id)).normal(0, 20, len(cut)))
+
+
 def melodies(vectors: DataFrame) -> DataFrame:
     """(vec_id, media, clip) from vectors (vec_id, embedding): every component sounds as one note of three octaves, HOP
     samples long; clip is the middle half of every 20th recording, softer and with some noise, else null. A null or empty
-    vector gives an empty recording, a null component the lowest note."""
-    t = np.arange(HOP) / RATE
-    tones = np.stack([np.sin(2 * np.pi * 110 * 2 ** (i / 12) * t) + 0.3 * np.sin(4 * np.pi * 110 * 2 ** (i / 12) * t) for i in range(_TONES)]) * 9000
+    vector gives an empty recording, a null component the lowest note. Files are made a few hundred at a time."""
+    tones = _tones()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            media, clips = [], []
-            for vec_id, v in zip(part["vec_id"], part["embedding"]):
-                x = np.nan_to_num(np.array([] if v is None else v, np.float64), nan=-1.0)
-                notes = np.clip((x + 0.4) / 0.8 * _TONES, 0, _TONES - 1).astype(int)
-                sound = tones[notes].reshape(-1)
-                media.append(wav(sound))
-                n = len(notes)
-                if not pd.isna(vec_id) and vec_id % 20 == 0:
-                    cut = sound[n // 4 * HOP : (n - n // 4) * HOP] * 0.6
-                    clips.append(wav(cut + np.random.default_rng(int(vec_id)).normal(0, 20, len(cut))))
-                else:
-                    clips.append(None)
-            yield pd.DataFrame({"vec_id": part["vec_id"], "media": media, "clip": clips})
+        for whole in parts:
+            for at in range(0, len(whole), 200):
+                part = whole.iloc[at : at + 200]
+                made = [_render(i, v, tones) for i, v in zip(part["vec_id"], part["embedding"])]
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "media": [m for m, _ in made], "clip": [c for _, c in made]})
 
     return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, media binary, clip binary")
 
 
+def _sounds(vectors: DataFrame) -> DataFrame:
+    """(vec_id, codes, clip): what melodies() makes, fingerprinted file by file in the same task, so that no sound is moved or stored."""
+    tones = _tones()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            codes, clips = [], []
+            for i, v in zip(part["vec_id"], part["embedding"]):
+                media, clip = _render(i, v, tones)
+                codes.append(fingerprint(samples_of(media)))
+                clips.append(None if clip is None else fingerprint(samples_of(clip)))
+            yield pd.DataFrame({"vec_id": part["vec_id"], "codes": codes, "clip": clips})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, codes array<bigint>, clip array<bigint>")
+
+
 def search_clips(vectors: DataFrame) -> DataFrame:
     """Every clip of melodies() against all recordings: (vec_id, match_id, n_copies, offset, votes, frames, bit_error).
 
@@ -182,7 +204,7 @@ def search_clips(vectors: DataFrame) -> DataFrame:
     with no match, or of a null or short vector, gives one row with nulls, so each row whose id is divisible by 20
     appears. Repeated rows are one query. Extra columns are not read. An empty table gives none.
     """
-    sounds = materialize(melodies(vectors).transform(_both))
+    sounds = materialize(_sounds(vectors))
     classes = materialize(sounds.where("vec_id is not null and size(codes) > 0").groupBy("codes").agg(F.min("vec_id").alias("item"), F.count("*").alias("n_copies")))
     asked = sounds.where("clip is not null").select("vec_id", "clip").distinct()
     forms = materialize(asked.groupBy("clip").agg(F.min("vec_id").alias("query")))
@@ -190,16 +212,3 @@ def search_clips(vectors: DataFrame) -> DataFrame:
     found = found.join(classes.select("item", "n_copies"), "item")
     out = asked.join(forms, "clip").select("vec_id", "query").join(found, "query", "left")
     return out.select("vec_id", F.col("item").alias("match_id"), "n_copies", "offset", "votes", "frames", "bit_error")
-
-
-def _both(media: DataFrame) -> DataFrame:
-    """(vec_id, codes, clip): fingerprints of recordings and of their clips in one pass, so that no sound is stored."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({
-                "vec_id": part["vec_id"], "codes": [fingerprint(samples_of(m)) for m in part["media"]],
-                "clip": [None if c is None else fingerprint(samples_of(c)) for c in part["clip"]],
-            })
-
-    return media.mapInPandas(run, "vec_id bigint, codes array<bigint>, clip array<bigint>")
