@@ -50,7 +50,19 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/flowguard-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of finished frames stay until the driver collects its garbage, which it may not do for long.
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that materialize() has written once nothing will read them any more; other frames are left alone."""
+    for df in frames:
+        for item in [x for x in _written if x[1] == getattr(df, "_written_to", None)]:
+            _written.remove(item)
+            _delete(*item)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
