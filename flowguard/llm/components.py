@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize, small
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,9 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = materialize(small.select("e.a", "e.b").where("a != b").distinct())
+        star = large.join(low, "a")
+        star = star.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        done, edges = edges, materialize(star.select("e.a", "e.b").where("a != b").distinct())
+        discard(done)
         before, state = state, _state(edges)
         if before == state:
             break
@@ -47,11 +49,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, linked: Callable[[Column, Colum
     return pairs.join(one, "a").join(two, "b").where(linked(both, F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+#: One node in SAMPLE shows which buckets are hot: those with HOT sampled members, some thousands in all.
+SAMPLE, HOT, MOST_HOT = 64, 64, 50_000
+#: So many nodes, some 40 bytes each, may be broadcast.
+MOST_NODES = 400_000
+
+
+def _live(members: DataFrame) -> DataFrame:
+    """(bucket, node, n, lo, mid) of the members that aren't alone in their bucket, with two members to compare with.
+
+    Most buckets have one or a few members: their rows are sent to one place and looked at there. Hot buckets are found
+    beforehand and go another way, by partial aggregates and a join that splits large keys.
+    """
+    one = F.struct("node", "n")
+    by_hash = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    sampled = members.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
+    hot = materialize(sampled.where(F.col("count") >= HOT).select("bucket"))
+    some = hot.limit(1).count() > 0
+    w = W.partitionBy("bucket")
+    cold = members.join(small(hot, MOST_HOT), "bucket", "left_anti") if some else members
+    cold = cold.withColumn("k", F.count("*").over(w)).where("k > 1")
+    live = cold.select("bucket", "node", "n", F.min(one).over(w).alias("lo"), F.min(by_hash).over(w).alias("mid"))
+    if some:
+        warm = members.join(small(hot, MOST_HOT), "bucket")
+        heads = warm.groupBy("bucket").agg(F.min(one).alias("lo"), F.min(by_hash).alias("mid"))
+        live = live.unionAll(warm.join(heads, "bucket").select("bucket", "node", "n", "lo", "mid"))
+    return live.withColumn("mid", F.struct("mid.node", "mid.n"))
+
+
 def linked_components(
     members: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
     linked: Callable[[Column, Column], Column],
     sizes: Callable[[Column, Column], Column],
+    sketches: DataFrame | None = None,
+    alike: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Components of the nodes whose sets are alike, among nodes that share a bucket.
 
@@ -62,12 +94,14 @@ def linked_components(
     First every member is compared with two members of its bucket: the smallest, and one chosen by hash. Most groups
     become one component by that. Then every pair of a bucket that still lies in two components is compared, so no link
     is lost, while pairs inside a component need no comparison. No list of a bucket's members is ever formed.
+
+    sketches (node, keys, sketch) with alike(sketch, sketch), a condition that hardly any linked pair fails, spare most
+    of the full comparisons of this second step; keys are the node's buckets, so that a pair comes up in one of them only.
     """
-    one = F.struct("node", "n")
-    heads = members.groupBy("bucket").agg(F.min(one).alias("lo"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("mid"), F.max("node").alias("top"))
-    heads = heads.where(F.col("lo.node") != F.col("top"))
-    live = materialize(members.join(heads, "bucket").select("bucket", "node", "n", "lo", F.struct("mid.node", "mid.n").alias("mid")))
-    sets = materialize(sets_of(live.select("node").distinct()))
+    live = materialize(_live(members))
+    discard(members)
+    nodes = materialize(live.select("node").distinct())
+    sets = materialize(sets_of(small(nodes, MOST_NODES)))
 
     def pair(x: Column, xn: Column, y: Column, yn: Column) -> tuple[Column, Column, Column]:
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), sizes(F.least(xn, yn), F.greatest(xn, yn)).alias("fits")
@@ -82,13 +116,21 @@ def linked_components(
 
     placed = live.select("bucket", "node", "n").join(first, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
     placed = materialize(placed)
+    discard(live, links)
     counts = placed.groupBy("bucket", "c").count()
     main = counts.groupBy("bucket").agg(F.max_by("c", "count").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     split = placed.join(main, "bucket")
-    away = split.where("c != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    cross = away.join(split, "bucket").where("xc != c and (c = main or x < node)")
+    apart = (F.col("xc") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
+    if sketches is not None:
+        split = split.join(sketches, "node")
+    more = [F.col("keys").alias("xk"), F.col("sketch").alias("xs")] if sketches is not None else []
+    away = split.where("c != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), *more)
+    if sketches is not None:
+        apart = apart & (F.element_at(F.array_intersect("xk", "keys"), 1) == F.col("bucket")) & alike(F.col("xs"), F.col("sketch"))
+    cross = away.join(split.withColumnRenamed("bucket", "in"), (F.col("bucket") == F.col("in")) & apart)
     cross = tidy(cross.select(*pair(F.col("x"), F.col("xn"), F.col("node"), F.col("n")))).join(tested, ["a", "b"], "left_anti")
     more = materialize(_verified(cross, sets, linked))
+    discard(placed, sets, tested)
     if not more.limit(1).count():
         return first
     ends = more

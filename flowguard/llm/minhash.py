@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import linked_components
-from .shared import materialize, mix, slices, utf8, word_hashes
+from .components import MOST_NODES, linked_components
+from .shared import materialize, mix, slices, small, utf8, word_hashes
 
 
 def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
@@ -53,37 +53,47 @@ def _hex(x: np.ndarray) -> bytes:
         return a.tobytes() + b.tobytes()
 
 
+#: Minima and maxima of a signature, four bits of each of which make a sketch.
+VALUES = 768
+
+
 class _Signer:
-    """Band keys of shingle sets: `bands` keys of `rows` values, half of them minima and half maxima."""
+    """Signatures of shingle sets, and their band keys: `bands` keys of `rows` values, half of them minima and half maxima."""
 
     def __init__(self, bands: int, rows: int):
         self.bands, self.half = bands, rows // 2
         rng = np.random.default_rng(2718)
-        count = bands * self.half
-        self.mul = (rng.integers(0, 1 << 63, count, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, count, dtype=np.uint64)
+        self.mul = (rng.integers(0, 1 << 63, VALUES // 2, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, VALUES // 2, dtype=np.uint64)
 
     def ends(self, x: np.ndarray) -> np.ndarray:
+        """The minimum and the maximum of the set under each permutation."""
         lo = hi = None
-        for i in range(0, len(x), 2048):
-            y = np.multiply.outer(self.mul, x[i : i + 2048]) + self.add[:, None]
+        for i in range(0, len(x), 1024):
+            y = np.multiply.outer(self.mul, x[i : i + 1024]) + self.add[:, None]
             a, b = y.min(1), y.max(1)
             lo, hi = (a, b) if lo is None else (np.minimum(lo, a), np.maximum(hi, b))
-        return np.concatenate([lo.reshape(self.bands, -1), hi.reshape(self.bands, -1)], 1)
-
-    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
-        ends = np.stack([self.ends(x) for x in sets])
-        k = np.arange(1, self.bands + 1, dtype=np.uint64)[None, :].repeat(len(sets), 0)
-        for i in range(ends.shape[2]):
-            k = mix(k * np.uint64(0xD6E8FEB86659FD93) + ends[:, :, i])
+        return np.stack([lo, hi])
+
+    def sketch(self, ends: np.ndarray) -> np.ndarray:
+        """Four bits of every value, sixteen of them in a long."""
+        bits = (mix(ends.reshape(len(ends), -1)) & np.uint64(15)).reshape(len(ends), -1, 16)
+        return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+    def keys(self, ends: np.ndarray) -> np.ndarray:
+        used = ends[:, :, : self.bands * self.half].reshape(len(ends), 2, self.bands, self.half)
+        k = np.arange(1, self.bands + 1, dtype=np.uint64)[None, :].repeat(len(ends), 0)
+        for end in range(2):
+            for i in range(self.half):
+                k = mix(k * np.uint64(0xD6E8FEB86659FD93) + used[:, end, :, i])
         return k.view(np.int64)
 
 
 def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, node, keys) of every document; node stands for its shingle set, null with keys if that is empty."""
+    """(doc_id, n, node, keys, sketch) of every document; node stands for its shingle set and is null if that is empty."""
     schema = T.StructType([
         T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n", T.LongType()),
-        T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
     ])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,13 +103,13 @@ def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataF
                 sets = shingle_sets(part.column("text"), words)
                 full = [x for x in sets if len(x)]
                 with np.errstate(over="ignore"):
-                    keys = signer.keys(full) if full else np.zeros((0, bands), np.int64)
+                    ends = np.stack([signer.ends(x) for x in full]) if full else np.zeros((0, 2, VALUES // 2), np.uint64)
+                    made = (signer.keys(ends), signer.sketch(ends)) if full else (np.zeros((0, 0), np.int64),) * 2
                 has = np.array([len(x) > 0 for x in sets])
-                at = np.r_[0, np.cumsum(np.where(has, bands, 0))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has * x.shape[1])].astype(np.int32)), pa.array(x.reshape(-1))) for x in made]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_hex(x) if len(x) else None for x in sets], pa.binary()), lists],
-                    names=["doc_id", "n", "node", "keys"],
+                    [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_hex(x) if len(x) else None for x in sets], pa.binary()), *lists],
+                    names=["doc_id", "n", "node", "keys", "sketch"],
                 )
 
     return documents.select("doc_id", "text").mapInArrow(sign, schema)
@@ -134,24 +144,42 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, ban
     """
     signed = materialize(signatures(documents, words, bands, rows))
     full = signed.where("n > 0")
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    members = classes.select("node", "n", F.posexplode("keys").alias("band", "bucket")).select("bucket", "node", "n")
-    members = materialize(members)
+    classes = materialize(full.groupBy("node", "n", "keys", "sketch").agg(F.min("doc_id").alias("least")))
+    members = classes.select(F.explode("keys").alias("bucket"), "node", "n")  # cheap to make again, so not written
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        ids = full.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        ids = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
         texts = documents.select("doc_id", "text")
-        found = texts.join(ids, "doc_id", "left_semi").unionAll(texts.where("doc_id is null"))
+        found = texts.join(small(materialize(ids), MOST_NODES), "doc_id", "left_semi").unionAll(texts.where("doc_id is null"))
         return _sets(found, words).join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     found = linked_components(
         members, sets_of,
         lambda both, union: both * 100 >= union * percent,
         lambda low, high: low * 100 >= high * percent,
+        classes.select("node", "keys", "sketch"),
+        lambda x, y: _unlike(x, y) <= _allowed(percent),
     )
     return _labelled(signed, classes, found)
 
 
+def _unlike(x: Column, y: Column) -> Column:
+    """How many of the four-bit values of two sketches differ. A fold: written out, it would be too large a method to compile."""
+
+    def count(a: Column, b: Column) -> Column:
+        d = a.bitwiseXOR(b)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(0x1111111111111111))
+
+    return F.aggregate(F.zip_with(x, y, count), F.lit(0), lambda total, n: total + n)
+
+
+def _allowed(percent: int) -> int:
+    """Differing values that a pair at the limit of similarity exceeds about once in a million times: five deviations above the mean."""
+    q = (1 - percent / 100) * 15 / 16
+    return int(VALUES * q + 5 * (VALUES * q * (1 - q)) ** 0.5)
+
+
 def _labelled(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     least = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
