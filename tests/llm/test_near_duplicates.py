@@ -135,3 +135,16 @@ def test_line_query_keeps_a_first_line(spark, sf_dir):
     out = queries.op10_line_dedup(spark, sf_dir)
     assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert out.agg(F.sum("n_removed")).first()[0] > 0
+
+
+def test_short_lines_lose_their_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    long = "a line that is long enough to have shingles"
+    rows = [(1, f"les.\n\n{long}\nab"), (2, "LES. \nabc\n\n"), (3, "ab"), (4, f"les.\n\n{long}\nab")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0), 2: (4, 1), 3: (1, 1), 4: (4, 3)}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: "abc\n\n"}
