@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one line of each group of like lines; a document all of whose lines have gone goes too."""
-    kept = linedup.dedupe_lines(docs, short=True)
+    kept = linedup.dedupe_lines(docs, linedup.CHARS, short=True)
     blank = F.trim(F.regexp_replace("text", "\\s+", " ")) == ""
     left = kept.where((F.col("n_removed") == 0) | ~blank)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

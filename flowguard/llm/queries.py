@@ -77,7 +77,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linedup.dedupe_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
+    kept = linedup.dedupe_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), linedup.CHARS, short=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -148,3 +148,15 @@ def test_short_lines_lose_their_copies(spark, tmp_path):
     assert got == {1: (4, 0), 2: (4, 1), 3: (1, 1), 4: (4, 3)}
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
     assert left == {1: rows[0][1], 2: "abc\n\n"}
+
+
+def test_lines_are_shingled_by_seven_characters(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(75)) for _ in range(6)]
+    rows = [(2 * i, x, 0) for i, x in enumerate(lines)] + [(2 * i + 1, x[:37] + "#" + x[38:], 0) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_removed"] for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == {i: i % 2 for i in range(12)}
+    assert {r["doc_id"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == set(range(0, 12, 2))
