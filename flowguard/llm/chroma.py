@@ -120,32 +120,45 @@ def fingerprints(media: DataFrame, key: str, column: str) -> DataFrame:
 def align(queries: DataFrame, index: DataFrame, most_error: float = 0.25, least_frames: int = 8) -> DataFrame:
     """(query, item, offset, votes, frames, bit_error): queries (query, codes) aligned with the items of index (item, codes).
 
-    Runs of four equal integers vote for an offset, the item's frame less the query's. The offset with the most votes, the
-    smallest of tied ones, is kept if the recordings overlap there in least_frames frames or more and at most most_error
-    of the bits differ. Pairs without a common run, and null or short recordings, give no row. Several rows of one
-    recording should be brought together before.
+    Each pair of equal integers votes for an offset, the item's frame less the query's. Every offset with a vote is
+    verified: it stands if the recordings overlap there in least_frames frames or more and at most most_error of the bits
+    differ. Of those that stand the one with the most votes, then the fewest bit errors, then the smallest is given. Pairs
+    without a common integer, and null or short recordings, give no row. Several rows of one recording should be brought
+    together before.
     """
 
-    def runs(frame: DataFrame, key: str, at: str) -> DataFrame:
-        codes = frame.where(F.size("codes") >= 4).select(key, "codes", F.explode(F.sequence(F.lit(1), F.size("codes") - 3)).alias(at))
-        return codes.select(key, at, *[F.element_at("codes", F.col(at) + i).alias(f"r{i}") for i in range(4)])
-
-    left, right = runs(queries, "query", "qt"), runs(index, "item", "it")
-    votes = left.join(right, ["r0", "r1", "r2", "r3"]).groupBy("query", "item", (F.col("it") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query", "item").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b"))
-    best = best.select("query", "item", (-F.col("b.o")).alias("offset"), F.col("b.votes").alias("votes"))
-    both = best.join(queries.select("query", F.col("codes").alias("q")), "query").join(index.select("item", F.col("codes").alias("c")), "item")
-    start = F.greatest(F.lit(1), 1 + F.col("offset"))
-    first = start - F.col("offset")
-    frames = F.least(F.size("q") - first, F.size("c") - start) + 1
-    both = both.withColumn("frames", frames).where(F.col("frames") >= least_frames)
-    wrong = F.aggregate(
-        F.zip_with(F.slice("q", first, F.col("frames")), F.slice("c", start, F.col("frames")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x
-    )
-    both = both.withColumn("bit_error", wrong / (F.col("frames") * 2 * FILTERS)).where(F.col("bit_error") <= most_error)
-    return both.select("query", "item", "offset", "votes", "frames", "bit_error")
+    def frames_of(frame: DataFrame, key: str, at: str) -> DataFrame:
+        return frame.select(key, F.posexplode("codes").alias(at, "code"))
 
+    left, right = frames_of(queries, "query", "qt"), frames_of(index, "item", "it")
+    votes = left.join(right, "code").groupBy("query", "item", (F.col("it") - F.col("qt")).alias("offset")).agg(F.count("*").alias("votes"))
+    voted = votes.groupBy("query", "item").agg(F.collect_list(F.struct("offset", "votes")).alias("voted"))
+    both = voted.join(queries.select("query", F.col("codes").alias("q")), "query").join(index.select("item", F.col("codes").alias("c")), "item")
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for query, item, voted, q, c in part[["query", "item", "voted", "q", "c"]].itertuples(index=False):
+                best, q, c = None, np.asarray(q, np.int64), np.asarray(c, np.int64)
+                for v in voted:
+                    offset, n = v["offset"], v["votes"]
+                    first, start = max(0, -offset), max(0, offset)
+                    frames = min(len(q) - first, len(c) - start)
+                    if frames < least_frames:
+                        continue
+                    wrong = int(np.bitwise_count(q[first : first + frames] ^ c[start : start + frames]).sum()) / (frames * 2 * FILTERS)
+                    if wrong <= most_error and (best is None or (-n, wrong, offset) < best[0]):
+                        best = (-n, wrong, offset), (query, item, offset, n, frames, wrong)
+                if best:
+                    rows.append(best[1])
+            yield pd.DataFrame(rows, columns=["query", "item", "offset", "votes", "frames", "bit_error"])
+
+    kinds = [f"{k} {f.schema[k].dataType.simpleString()}" for k, f in (("query", queries), ("item", index))]
+    return both.select("query", "item", "voted", "q", "c").mapInPandas(run, f"{', '.join(kinds)}, offset int, votes bigint, frames int, bit_error double")
+
+
+#: So many starts inside a hop, equally spaced, are tried for a clip.
+PHASES = 8
 _TONES = 36
 
 
@@ -161,13 +174,21 @@ def _render(vec_id: object, vector: object, tones: np.ndarray) -> tuple[bytes, b
     sound, n = tones[notes].reshape(-1), len(notes)
     if pd.isna(vec_id) or vec_id % 20:
         return wav(sound), None
-    cut = sound[n // 4 * HOP : (n - n // 4) * HOP] * 0.6
-    return wav(sound), wav(cut + np.random.default_rng(int(vec_id)).normal(0, 20, len(cut)))
+    rng, rough = np.random.default_rng(abs(int(vec_id))), vec_id // 20 % 4 == 3  # every fourth clip is off the hop grid, with more noise
+    at = n // 4 * HOP + (int(rng.integers(1, HOP)) if rough else 0)
+    cut = sound[at : (n - n // 4) * HOP] * 0.6
+    return wav(sound), wav(cut + rng.normal(0, 300 if rough else 20, len(cut)))
+
+
+def _phases(samples: np.ndarray) -> list[np.ndarray]:
+    """Fingerprints from PHASES starts inside a hop: one of them is near the grid of any recording that the samples were cut from."""
+    return [fingerprint(samples[s:]) for s in range(0, HOP, HOP // PHASES)]
 
 
 def melodies(vectors: DataFrame) -> DataFrame:
     """(vec_id, media, clip) from vectors (vec_id, embedding): every component sounds as one note of three octaves, HOP
-    samples long; clip is the middle half of every 20th recording, softer and with some noise, else null. A null or empty
+    samples long; clip is the middle half of every 20th recording, softer and with some noise, else null; every fourth clip starts inside a
+    hop and has more noise. A null or empty
     vector gives an empty recording, a null component the lowest note. Files are made a few hundred at a time."""
     tones = _tones()
 
@@ -182,7 +203,7 @@ def melodies(vectors: DataFrame) -> DataFrame:
 
 
 def _sounds(vectors: DataFrame) -> DataFrame:
-    """(vec_id, codes, clip): what melodies() makes, fingerprinted file by file in the same task, so that no sound is moved or stored."""
+    """(vec_id, codes, clip): what melodies() makes, fingerprinted file by file in the same task, so that no sound is moved or stored. A clip has the codes of each of its phases."""
     tones = _tones()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,15 +212,17 @@ def _sounds(vectors: DataFrame) -> DataFrame:
             for i, v in zip(part["vec_id"], part["embedding"]):
                 media, clip = _render(i, v, tones)
                 codes.append(fingerprint(samples_of(media)))
-                clips.append(None if clip is None else fingerprint(samples_of(clip)))
+                clips.append(None if clip is None else _phases(samples_of(clip)))
             yield pd.DataFrame({"vec_id": part["vec_id"], "codes": codes, "clip": clips})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, codes array<bigint>, clip array<bigint>")
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, codes array<bigint>, clip array<array<bigint>>")
 
 
 def search_clips(vectors: DataFrame) -> DataFrame:
     """Every clip of melodies() against all recordings: (vec_id, match_id, n_copies, offset, votes, frames, bit_error).
 
+    A clip is fingerprinted from PHASES starts inside a hop, each aligned by itself; of a recording's alignments the one with
+    the most votes is given, then the fewest bit errors, the smallest offset and the earliest start.
     Recordings with equal fingerprints are one class, named match_id by its smallest vec_id, of n_copies rows. A clip
     with no match, or of a null or short vector, gives one row with nulls, so each row whose id is divisible by 20
     appears. Repeated rows are one query. Extra columns are not read. An empty table gives none.
@@ -208,7 +231,11 @@ def search_clips(vectors: DataFrame) -> DataFrame:
     classes = materialize(sounds.where("vec_id is not null and size(codes) > 0").groupBy("codes").agg(F.min("vec_id").alias("item"), F.count("*").alias("n_copies")))
     asked = sounds.where("clip is not null").select("vec_id", "clip").distinct()
     forms = materialize(asked.groupBy("clip").agg(F.min("vec_id").alias("query")))
-    found = align(forms.select("query", F.col("clip").alias("codes")), classes.select("item", "codes"))
+    starts = forms.select("query", F.posexplode("clip").alias("phase", "codes"))
+    found = align(starts.select(F.concat_ws("|", "query", "phase").alias("query"), "codes"), classes.select("item", "codes"))
+    found = found.select(*[F.split("query", "\\|")[i].cast("bigint").alias(c) for i, c in enumerate(("of", "phase"))], *found.columns[1:])
+    order = F.struct(-F.col("votes"), "bit_error", "offset", "phase")
+    found = found.groupBy(F.col("of").alias("query"), "item").agg(F.min_by(F.struct("offset", "votes", "frames", "bit_error"), order).alias("b")).select("query", "item", "b.*")
     found = found.join(classes.select("item", "n_copies"), "item")
     out = asked.join(forms, "clip").select("vec_id", "query").join(found, "query", "left")
     return out.select("vec_id", F.col("item").alias("match_id"), "n_copies", "offset", "votes", "frames", "bit_error")

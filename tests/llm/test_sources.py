@@ -155,3 +155,55 @@ def test_wav_is_read_with_its_channels():
     stereo[22] = 2
     assert np.allclose(chroma.samples_of(bytes(stereo)), left)
     assert len(chroma.samples_of(b"RIFFxxxxWAVE")) == len(chroma.samples_of(None)) == len(chroma.fingerprint(np.zeros(100))) == 0
+
+
+def _aligned_by_brute_force(queries, items, voted):
+    """(query, item) -> (offset, votes, frames) over all pairs and offsets that stand, with a vote if voted."""
+    out = {}
+    for i, q in queries:
+        for k, c in items:
+            stand = []
+            for o in range(1 - len(q), len(c)):
+                both = [(q[t], c[t + o]) for t in range(len(q)) if 0 <= t + o < len(c)]
+                wrong, votes = sum((x ^ y).bit_count() for x, y in both) / max(1, 32 * len(both)), sum(x == y for x, y in both)
+                if len(both) >= 8 and wrong <= 0.25 and (votes or not voted):
+                    stand.append((-votes, wrong, o, len(both)))
+            if stand:
+                votes, _, o, frames = min(stand)
+                out[i, k] = o, -votes, frames
+    return out
+
+
+def test_alignment_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items = [(k, [int(x) for x in rng.integers(0, 2**32, 60)]) for k in range(12)]
+    motif = items[5][1][20:26]
+    items[5] = (5, motif + items[5][1][6:])  # its motif stands at 0 and at 20
+
+    def noisy(codes, error):
+        return [c ^ int(sum(1 << b for b in np.flatnonzero(rng.random(32) < error))) for c in codes]
+
+    queries = [(k, noisy(items[k][1][12:42], error)) for k, error in enumerate([0.0, 0.02, 0.05, 0.05, 0.05])]
+    queries += [(5, motif + noisy(items[5][1][26:50], 0.1)), (6, [int(x) for x in rng.integers(0, 2**32, 30)])]
+    # The wrong offset of this one has three equal codes in 30 frames, the true one two.
+    c = items[7][1]
+    fooled = noisy(c[12:42], 0.06)
+    fooled = [x ^ 1 if x == y else x for x, y in zip(fooled, c[12:42])]
+    fooled[0:2], fooled[10:13] = c[12:14], c[42:45]
+    queries.append((7, fooled))
+    frames = [spark.createDataFrame(rows, f"{key} long, codes array<bigint>") for key, rows in (("query", queries), ("item", items))]
+    got = {(r["query"], r["item"]): (r["offset"], r["votes"], r["frames"]) for r in chroma.align(*frames).collect()}
+    assert got == _aligned_by_brute_force(queries, items, True)
+    assert set(_aligned_by_brute_force(queries, items, False)) == set(got) == {(k, k) for k in (0, 1, 2, 3, 4, 5, 7)}
+    assert got[7, 7][:2] == (12, 2)
+
+
+def test_clips_off_the_grid_are_found(spark):
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, rng.normal(0, 0.125, 64).tolist()) for i in range(0, 400)], "vec_id bigint, embedding array<float>")
+    found = {(r["vec_id"], r["match_id"]) for r in chroma.search_clips(vectors).collect() if r["match_id"] is not None}
+    rows = chroma._sounds(vectors).collect()
+    every = _aligned_by_brute_force([(r["vec_id"], r["clip"][0]) for r in rows if r["clip"] is not None], [(r["vec_id"], r["codes"]) for r in rows if r["vec_id"] < 60], False)
+    every = set(every) | set(_aligned_by_brute_force(*[[(r["vec_id"], (r[c][0] if c == "clip" else r[c])) for r in rows if r["vec_id"] % 20 == 0] for c in ("clip", "codes")], False))
+    rough = {p for p in every if p[0] // 20 % 4 == 3}
+    assert rough and len(every & found) >= 0.95 * len(every) and rough <= found
