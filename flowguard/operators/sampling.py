@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,43 +66,92 @@ def split_tail(df: DataFrame, order: list[str], share: float = 0.2) -> DataFrame
     return rows.withColumn("part", F.when(F.col("place") > cut, "validation").otherwise("fit")).drop("_p", "_before", "_total")
 
 
-def neighbours(points: DataFrame, columns: list[str], k: int = 5, key: str = "flow_key", exact_rows: int = 20_000, bucket: float = 1.0, radius: float = 4.0) -> DataFrame:
-    """(key, other, place): each point's k nearest others by Euclidean distance, ties by key.
+#: Places in a block of neighbours(), more or less.
+BLOCK = 1000
+
+
+def _nearest(columns: list[str], k: int):
+    """For pairs of blocks (x: whose places ask, y: whose points answer): each place's k nearest points in y by (d, key)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for asking, answering in zip(part["x"], part["y"]):
+                square = np.zeros((len(asking), len(answering)))
+                for i in range(len(columns)):
+                    one, two = (np.array([p["at"][i] for p in side], np.float64) for side in (asking, answering))
+                    square += (one[:, None] - two) * (one[:, None] - two)
+                last = min(k, len(answering)) - 1
+                reach = np.partition(square, last, axis=1)[:, last : last + 1]
+                rows = []
+                for p, d, near in zip(asking, square, (square <= reach) | np.isnan(reach)):
+                    found = sorted((d[j], key) for j in np.flatnonzero(near) for key in answering[j]["keys"])[:k]
+                    rows += [(p["keys"][0], x, key) for x, key in found]
+                yield pd.DataFrame(rows, columns=["spot", "d", "other"])
+
+    return run
+
+
+def neighbours(points: DataFrame, columns: list[str], k: int = 5, key: str = "flow_key") -> DataFrame:
+    """(key, others): the keys of each point's k nearest others by Euclidean distance, ties by key; exact at any size.
 
-    Up to exact_rows points are all compared, in blocks; beyond it random projections propose pairs within the radius, so
-    a lonely point may have fewer than k.
+    Points of one place have the same list but for themselves, so places are compared, each with its k + 1 smallest keys.
+    They are cut into blocks by range. A block's places are first compared among themselves, which bounds how far they
+    need to look; then with the blocks whose box lies within that bound.
     """
-    here = points.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    there = points.select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    if points.limit(exact_rows + 1).count() <= exact_rows:
-        square = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns), F.lit(0.0))
-        pairs = here.join(F.broadcast(there), F.col("a") != F.col("b")).select("a", "b", square.alias("d"))
-    else:
-        vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(points).select(F.col(key).alias("id"), "v")
-        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket, numHashTables=3, seed=7).fit(vectors)
-        joined = model.approxSimilarityJoin(vectors, vectors, radius, distCol="d")
-        pairs = joined.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "d").where("a != b")
-    place = F.row_number().over(W.partitionBy("a").orderBy("d", "b"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "place")
-
-
-def smote(df: DataFrame, columns: list[str], label: str = "label", minority: int = 1, k: int = 5, seed: int = 42, key: str = "flow_key", **search: object) -> DataFrame:
+    here = points.select(F.col(key).cast("string").alias("key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
+    # In two steps, so that no task sorts all points of one place.
+    firsts = here
+    for w in (W.partitionBy("at", F.pmod(F.xxhash64("key"), F.lit(64))), W.partitionBy("at")):
+        firsts = firsts.withColumn("_i", F.row_number().over(w.orderBy("key"))).where(F.col("_i") <= k + 1).drop("_i")
+    places = written(firsts.groupBy("at").agg(F.sort_array(F.collect_list("key")).alias("keys")), "places")
+    cut = places.repartitionByRange(places.count() // BLOCK + 1, "at").withColumn("block", F.spark_partition_id())
+    sides = [f(F.col("at")[i]).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))]
+    blocks = written(cut.groupBy("block").agg(F.collect_list(F.struct("at", "keys")).alias("x"), *sides), "blocks")
+    kind = "spot string, d double, other string"
+    own = written(blocks.select("x", F.col("x").alias("y")).mapInPandas(_nearest(columns, k + 1), kind), "own")
+    # A place with fewer than k + 1 points in its block has no bound yet.
+    far = own.groupBy("spot").agg(F.when(F.count("*") > k, F.max("d")).otherwise(float("inf")).alias("d"))
+    spots = blocks.select("block", F.explode("x").alias("p")).select("block", F.col("p.keys")[0].alias("spot"))
+    bounds = spots.join(far, "spot").groupBy("block").agg(F.max("d").alias("bound"))
+    boxes = blocks.drop("x").join(bounds, "block")
+    there = blocks.select(*[F.col(c).alias(f"_{c}") for c in blocks.columns if c != "x"])
+    gap = [F.greatest(F.col(f"lo{i}") - F.col(f"_hi{i}"), F.col(f"_lo{i}") - F.col(f"hi{i}"), F.lit(0.0)) for i in range(len(columns))]
+    pairs = boxes.crossJoin(F.broadcast(there)).where((F.col("block") != F.col("_block")) & ~(sum((g * g for g in gap), F.lit(0.0)) > F.col("bound")))
+    pairs = written(pairs.select("block", "_block"), "pairs")
+    both = pairs.join(blocks.select("block", "x"), "block").join(blocks.select(F.col("block").alias("_block"), F.col("x").alias("y")), "_block").select("x", "y")
+    other = both.repartition(max(1, min(400, pairs.count()))).mapInPandas(_nearest(columns, k + 1), kind)
+    ranked = own.unionAll(other).withColumn("_i", F.row_number().over(W.partitionBy("spot").orderBy("d", "other"))).where(F.col("_i") <= k + 1)
+    lists = ranked.groupBy("spot").agg(F.sort_array(F.collect_list(F.struct("_i", "other"))).alias("l"))
+    lists = written(places.withColumn("spot", F.col("keys")[0]).join(lists, "spot").select("at", F.col("l.other").alias("l")), "lists")
+    return here.join(lists, "at").select(F.col("key").alias(key), F.slice(F.filter("l", lambda x: x != F.col("key")), 1, k).alias("others"))
+
+
+def _ranks(points: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, _rank): ranks by hash, by counts of leading hash digits and ranks inside; no task ranks all rows."""
+    placed = points.select(key, key_order(F.col(key), seed).alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
+    counts = placed.groupBy("_b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select("_b", before.alias("_before")))  # 4,096 rows
+    return placed.join(counts, "_b").select(key, (F.row_number().over(W.partitionBy("_b").orderBy("_h", key)) + F.col("_before")).alias("_rank"))
+
+
+def smote(df: DataFrame, columns: list[str], label: str = "label", minority: int = 1, k: int = 5, seed: int = 42, key: str = "flow_key") -> DataFrame:
     """Synthetic minority rows (key, columns..., label) until both classes are equal in number.
 
     Row i starts from the minority point of rank i mod m by hash and goes a fraction u towards one of its k nearest
-    minority points; u and the choice come from the hash of its own key, so reruns agree.
+    minority points; u and the choice come from the hash of its own key, so reruns agree. A single minority point is its
+    own neighbour. Without minority points there are no rows.
     """
     points = df.where(F.col(label) == minority).select(key, *columns)
     counts = df.agg(F.count_if(F.col(label) == minority).alias("m"), F.count_if(F.col(label) != minority).alias("rest"))
-    near = neighbours(points, columns, k, key, **search)
-    degree = near.groupBy(key).agg(F.max("place").alias("_near"))
-    rounds = points.select(key, F.row_number().over(W.orderBy(key_order(F.col(key), seed), key)).alias("_rank")).crossJoin(F.broadcast(counts))
+    near = neighbours(points, columns, k, key)
+    rounds = _ranks(points, key, seed).crossJoin(F.broadcast(counts))
     need = F.greatest(F.col("rest") - F.col("m"), F.lit(0))
     times = F.floor(need / F.col("m")) + F.when(F.col("_rank") <= need % F.col("m"), 1).otherwise(0)
-    made = rounds.withColumn("_i", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))))
-    made = made.withColumn("new_key", F.concat_ws("~", key, "_i")).join(degree, key)
-    made = made.withColumn("place", (F.floor(fraction(F.col("new_key"), seed + 1) * F.col("_near")) + 1).cast("int"))
-    made = made.withColumn("_u", fraction(F.col("new_key"), seed + 2)).join(near, [key, "place"])
+    made = rounds.join(near, key).withColumn("_i", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))))
+    made = made.withColumn("new_key", F.concat_ws("~", key, "_i"))
+    choice = (F.floor(fraction(F.col("new_key"), seed + 1) * F.size("others"))).cast("int")
+    made = made.withColumn("other", F.coalesce(F.get("others", choice), F.col(key))).withColumn("_u", fraction(F.col("new_key"), seed + 2))
     start = points.select(F.col(key).alias("_k1"), *[F.col(c).alias(f"s_{c}") for c in columns])
     end = points.select(F.col(key).alias("_k2"), *[F.col(c).alias(f"e_{c}") for c in columns])
     rows = made.join(start, F.col(key) == F.col("_k1")).join(end, F.col("other") == F.col("_k2"))

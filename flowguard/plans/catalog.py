@@ -469,6 +469,13 @@ def smote(v):
     return _rounded(sampling.smote(written(pool, "pool"), _SMOTE), _SMOTE)
 
 
+@query()
+def smote_train(v):
+    rows = v.flows_raw.select("flow_key", *[F.col(c).cast("double").alias(c) for c in _SMOTE], "label")
+    train = written(sampling.split_stratified(rows).where("split = 'train'").drop("split"), "train")
+    return _rounded(sampling.smote(train, _SMOTE), _SMOTE)
+
+
 @query(f"SELECT flow_key, 'DDoS' AS type, 0 AS priority FROM (SELECT * FROM flows_raw WHERE label = 1 ORDER BY {_ORDER} LIMIT 50) UNION ALL SELECT flow_key, type, 1 FROM flows_raw WHERE label = 0")
 def inject_attacks(v):
     return sampling.inject_attacks(v.flows_raw.select("flow_key", "type", "label"), 50, "DDoS").drop("label")

@@ -1,6 +1,7 @@
 """Edge tables and invariants."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from flowguard.functions import columns as C
 from flowguard.functions import schema as S
 from flowguard.operators import alerts, clean, detectors, evaluation, explain, features, models, profile, sampling
+from flowguard.plans import catalog
 from flowguard.plans.fixtures import Views
 from flowguard.sources import flows as io
 from flowguard.sources.scratch import fresh_path
@@ -107,6 +109,26 @@ def test_smote_balances_inside_the_hull(spark, sf_dir):
     assert all(got[i] >= low[i] - 1e-9 and got[i + 2] <= high[i] + 1e-9 for i in range(2))
 
 
+def test_neighbours_are_exact_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK", 40)
+    rng = random.Random(6)
+    # Copies of one place, a lattice with ties, and lonely points far from all others.
+    at = [(3.0, 3.0)] * 20 + [(float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(200)] + [(rng.gauss(0, 30), rng.gauss(0, 30)) for _ in range(150)] + [(900.0, 0.0), (0.0, -5000.0)]
+    rows = [(f"k{i}", *p) for i, p in enumerate(at)]
+    got = {r["flow_key"]: r["others"] for r in sampling.neighbours(spark.createDataFrame(rows, "flow_key string, a double, b double"), ["a", "b"]).collect()}
+    want = {r[0]: [o[0] for o in sorted(rows, key=lambda o: ((r[1] - o[1]) * (r[1] - o[1]) + (r[2] - o[2]) * (r[2] - o[2]), o[0])) if o[0] != r[0]][:5] for r in rows}
+    assert got == want
+
+
+def test_smote_train_makes_classes_equal(spark, sf_dir):
+    train = sampling.split_stratified(Views(spark, sf_dir).flows_raw.select("flow_key", "label")).where("split = 'train'")
+    n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    made = catalog.QUERIES["smote_train"](spark, sf_dir)
+    assert n[0] - n[1] > 1000 and made.count() == n[0] - n[1] == made.select("flow_key").distinct().count()
+    one = spark.createDataFrame([("x", 1.0, 1), ("y", 2.0, 0), ("z", 3.0, 0)], "flow_key string, a double, label int")
+    assert [tuple(r) for r in sampling.smote(one, ["a"]).collect()] == [("x~1", 1.0, 1)]
+
+
 def test_forest_floor_saved_copy_and_contributions(spark, sf_dir):
     v = Views(spark, sf_dir)
     parts = sampling.split_stratified(features.featurise(v.flows_raw, ("flow_key", "label"))).persist()
