@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -42,102 +43,178 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b"), F.col("b"))).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, linked: Callable[[Column, Column], Column]) -> DataFrame:
+def _pair(x: Column | str, y: Column | str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked."""
     one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(linked(both, F.size("sa") + F.size("sb") - both)).select("a", "b")
+    m, n, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    fits = F.least(m, n) * 100 >= F.greatest(m, n) * percent
+    return pairs.join(one, "a").join(two, "b").where(F.when(fits, both * 100 >= (m + n - both) * percent)).select("a", "b")
+
+
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the links are taken between components, so that most of them fall away at once."""
+    ends = links
+    for x in ("a", "b"):
+        of = components.select(F.col("node").alias(x), F.col("component").alias("c"))
+        ends = ends.join(of, x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    joined = connected_components(ends.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("c"))
+    moved = components.join(joined, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    fresh = joined.select(F.col("component").alias("node"), F.col("c").alias("component")).join(components, "node", "left_anti")
+    return materialize(moved.unionAll(fresh))
 
 
 #: One node in SAMPLE shows which buckets are hot: those with HOT sampled members, some thousands in all.
 SAMPLE, HOT, MOST_HOT = 64, 64, 50_000
 #: So many nodes, some 40 bytes each, may be broadcast.
 MOST_NODES = 400_000
+#: In buckets of so many members every pair is compared: a fixed number for each. Larger ones are searched by residuals.
+FEW = 12
 
 
 def _live(members: DataFrame) -> DataFrame:
-    """(bucket, node, n, lo, mid) of the members that aren't alone in their bucket, with two members to compare with.
+    """(bucket, node, lo, mid) of the members that aren't alone in their bucket, with two members to compare with.
 
     Most buckets have one or a few members: their rows are sent to one place and looked at there. Hot buckets are found
     beforehand and go another way, by partial aggregates and a join that splits large keys.
     """
-    one = F.struct("node", "n")
-    by_hash = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    by_hash = F.struct(F.xxhash64("node").alias("h"), "node")
     sampled = members.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
     hot = materialize(sampled.where(F.col("count") >= HOT).select("bucket"))
     some = hot.limit(1).count() > 0
     w = W.partitionBy("bucket")
     cold = members.join(small(hot, MOST_HOT), "bucket", "left_anti") if some else members
     cold = cold.withColumn("k", F.count("*").over(w)).where("k > 1")
-    live = cold.select("bucket", "node", "n", F.min(one).over(w).alias("lo"), F.min(by_hash).over(w).alias("mid"))
+    live = cold.select("bucket", "node", F.min("node").over(w).alias("lo"), F.min(by_hash).over(w).alias("mid"))
     if some:
         warm = members.join(small(hot, MOST_HOT), "bucket")
-        heads = warm.groupBy("bucket").agg(F.min(one).alias("lo"), F.min(by_hash).alias("mid"))
-        live = live.unionAll(warm.join(heads, "bucket").select("bucket", "node", "n", "lo", "mid"))
-    return live.withColumn("mid", F.struct("mid.node", "mid.n"))
-
-
-def linked_components(
-    members: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
-    linked: Callable[[Column, Column], Column],
-    sizes: Callable[[Column, Column], Column],
-    sketches: DataFrame | None = None,
-    alike: Callable[[Column, Column], Column] | None = None,
-) -> DataFrame:
-    """Components of the nodes whose sets are alike, among nodes that share a bucket.
-
-    members (bucket, node, n): n is the size of the node's set. sets_of(frame of node) -> (node, s array of distinct
-    values). linked(intersection size, union size) decides on full sets; sizes(smaller n, larger n) is a necessary
-    condition on sizes. Result (node, component), nodes without a link left out.
-
-    First every member is compared with two members of its bucket: the smallest, and one chosen by hash. Most groups
-    become one component by that. Then every pair of a bucket that still lies in two components is compared, so no link
-    is lost, while pairs inside a component need no comparison. No list of a bucket's members is ever formed.
-
-    sketches (node, keys, sketch) with alike(sketch, sketch), a condition that hardly any linked pair fails, spare most
-    of the full comparisons of this second step; keys are the node's buckets, so that a pair comes up in one of them only.
-    """
-    live = materialize(_live(members))
-    discard(members)
-    nodes = materialize(live.select("node").distinct())
-    sets = materialize(sets_of(small(nodes, MOST_NODES)))
-
-    def pair(x: Column, xn: Column, y: Column, yn: Column) -> tuple[Column, Column, Column]:
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), sizes(F.least(xn, yn), F.greatest(xn, yn)).alias("fits")
+        heads = warm.groupBy("bucket").agg(F.min("node").alias("lo"), F.min(by_hash).alias("mid"))
+        live = live.unionAll(warm.join(heads, "bucket").select("bucket", "node", "lo", "mid"))
+    out = materialize(live.withColumn("mid", F.col("mid.node")))
+    discard(hot)
+    return out
 
-    def tidy(frame: DataFrame) -> DataFrame:
-        return frame.where("fits and a != b").select("a", "b").distinct()
 
-    heads = live.select("node", "n", F.explode(F.array("lo", "mid")).alias("x"))
-    tested = materialize(tidy(heads.select(*pair(F.col("node"), F.col("n"), F.col("x.node"), F.col("x.n")))))
-    links = materialize(_verified(tested, sets, linked))
-    first = connected_components(links)
-
-    placed = live.select("bucket", "node", "n").join(first, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
+def _unsettled(live: DataFrame, components: DataFrame) -> DataFrame:
+    """(bucket, node, c, main, k) of the buckets that lie in several components: a member's component, the bucket's largest one, its number of members."""
+    placed = live.select("bucket", "node").join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     placed = materialize(placed)
-    discard(live, links)
     counts = placed.groupBy("bucket", "c").count()
-    main = counts.groupBy("bucket").agg(F.max_by("c", "count").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    split = placed.join(main, "bucket")
-    apart = (F.col("xc") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
-    if sketches is not None:
-        split = split.join(sketches, "node")
-    more = [F.col("keys").alias("xk"), F.col("sketch").alias("xs")] if sketches is not None else []
-    away = split.where("c != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), *more)
-    if sketches is not None:
-        apart = apart & (F.element_at(F.array_intersect("xk", "keys"), 1) == F.col("bucket")) & alike(F.col("xs"), F.col("sketch"))
-    cross = away.join(split.withColumnRenamed("bucket", "in"), (F.col("bucket") == F.col("in")) & apart)
-    cross = tidy(cross.select(*pair(F.col("x"), F.col("xn"), F.col("node"), F.col("n")))).join(tested, ["a", "b"], "left_anti")
-    more = materialize(_verified(cross, sets, linked))
-    discard(placed, sets, tested)
-    if not more.limit(1).count():
-        return first
-    ends = more
-    for x in ("a", "b"):
-        of = first.select(F.col("node").alias(x), F.col("component").alias("c"))
-        ends = ends.join(of, x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
-    joined = connected_components(ends.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("c"))
-    moved = first.join(joined, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
-    fresh = joined.select(F.col("component").alias("node"), F.col("c").alias("component")).join(first, "node", "left_anti")
-    return moved.unionAll(fresh)
+    main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("k"), F.count("*").alias("parts"))
+    out = materialize(placed.join(main.where("parts > 1").drop("parts"), "bucket"))
+    discard(placed)
+    return out
+
+
+def _second_heads(split: DataFrame) -> DataFrame:
+    """Pairs (a, b): members outside a bucket's main component with two of their own kind, so that a second group in a bucket becomes a component too."""
+    rest = split.where("c != main and k > %d" % FEW)
+    heads = rest.groupBy("bucket").agg(F.min("node").alias("lo"), F.min(F.struct(F.xxhash64("node"), "node")).alias("mid"))
+    pairs = rest.join(heads, "bucket").select("node", F.explode(F.array("lo", "mid.node")).alias("x"))
+    return pairs.where("node != x").select(*_pair("node", "x")).distinct()
+
+
+def _few(split: DataFrame) -> DataFrame:
+    """Every pair of two components in a small bucket."""
+    one = split.where("k <= %d" % FEW)
+    two = one.select("bucket", F.col("node").alias("y"), F.col("c").alias("d"))
+    return one.join(two, "bucket").where("node < y and c != d").select(*_pair("node", "y")).distinct()
+
+
+def residual_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sure, candidates), both (a, b): links of a group that need no comparison, and the pairs that may be linked besides.
+
+    groups (g, node, c): c is the component of the node so far. A group's centre p has the elements that more than half of its members have.
+    A member x is kept as its residual against p: the r elements of p that it lacks and the a elements that it has
+    besides. For two members with o residual elements in common, and w = 100 r + percent a,
+
+        linked  <=>  (100 + percent) o >= w_x + w_y - (100 - percent) |p|.
+
+    If the right side isn't above 0 the pair is linked for sure, and both are then linked with the member m of the
+    smallest w; sure has these links with m. All other linked pairs share o > 0 residual elements, at least as many as
+    the bound says. So candidates come from an equi-join on prefixes of the residuals, rarest element of the group
+    first: of d elements the first d - t + 1, when t are to be shared. As t depends on both weights, weights fall into
+    classes of a tenth, and a member has a prefix for each class that can hold a partner. Near copies of one text have
+    few residual elements and their own ones come first, so a large group hardly ever gives candidates that don't share
+    a change of the text.
+    """
+    limit, step, per = 100 - percent, math.log(1.1), 100 + percent
+    held = groups.join(sets, "node")
+    counts = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("f"))
+    of = groups.groupBy("g").agg(F.count("*").alias("k"))
+    centre = counts.join(of, "g").where("2 * f > k").groupBy("g").agg(F.collect_list("e").alias("p"))
+    none = F.array().cast(sets.schema["s"].dataType)
+    rest = held.join(centre, "g", "left").withColumn("p", F.coalesce("p", none))
+    rest = rest.select("g", "node", "c", F.array_except("p", "s").alias("r"), F.array_except("s", "p").alias("x"), (F.size("p") * limit).cast("long").alias("sure"))
+    base = materialize(rest.select("g", "node", "c", "sure", (F.size("r") * 100 + F.size("x") * percent).cast("long").alias("w"), F.concat("r", "x").alias("e")))
+    least = base.groupBy("g").agg(F.min(F.struct("w", "node")).alias("m"))
+    rest = base.join(least, "g").withColumn("core", F.col("w") + F.col("m.w") <= F.col("sure"))
+    sure = rest.where(F.col("core") & (F.col("node") != F.col("m.node"))).select(*_pair("node", "m.node"))
+    sure = materialize(sure)
+
+    def kind(w: Column) -> Column:
+        return F.floor(F.log(F.greatest(w, F.lit(0)) + F.col("sure") + 1) / F.lit(step)).cast("int")
+
+    w, d, limit_w = F.col("w"), F.size("e"), F.col("sure")
+    # A core member needs partners outside the core only; a partner's weight has both bounds from the number it can share.
+    lowest = F.greatest(F.floor((w - limit_w) * percent / 100), F.when(F.col("core"), limit_w - F.col("m.w") + 1).otherwise(0)).cast("long")
+    highest = d * per + limit_w - w
+    items = rest.select("g", "node", F.explode("e").alias("e"))
+    often = items.groupBy("g", "e").agg(F.count("*").alias("f"))
+    ordered = items.join(often, ["g", "e"]).groupBy("g", "node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
+    wide = rest.where((d > 0) & (highest >= lowest)).select("g", "node", "c", "w", "sure", "core", d.alias("d"), kind(lowest).alias("from"), kind(highest).alias("to"), kind(w).alias("own"))
+    wide = wide.join(ordered, ["g", "node"])
+    wide = wide.withColumn("other", F.explode(F.expr("sequence(`from`, greatest(`from`, `to`))")))
+    floor_w = F.greatest(F.lit(0), F.floor(F.exp(F.col("other") * F.lit(step)) * (1 - 1e-9)) - limit_w - 1)
+    t = F.greatest(F.lit(1), F.ceil((w + floor_w - limit_w) / per)).cast("int")
+    wide = wide.withColumn("length", F.col("d") - t + 1).where("length > 0")
+    posts = wide.select("g", "node", "c", "core", "own", "other", F.explode(F.slice("order.e", F.lit(1), F.col("length"))).alias("e"))
+    one = posts.where("own <= other").select("g", "e", F.col("own").alias("u"), F.col("other").alias("v"), "node", "c", "core")
+    two = posts.where("own >= other").select("g", "e", F.col("other").alias("u"), F.col("own").alias("v"), F.col("node").alias("y"), F.col("c").alias("k"), F.col("core").alias("core_y"))
+    pairs = one.join(two, ["g", "e", "u", "v"]).where("c != k and not (core and core_y) and (u < v or node < y)")
+    pairs = materialize(pairs.select(*_pair("node", "y")).distinct())
+    discard(base)
+    return sure, pairs
+
+
+def linked_components(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Components of the nodes whose sets have a Jaccard similarity of percent/100 or more, among nodes that share a bucket.
+
+    members (bucket, node); sets_of(frame of node) -> (node, s array of distinct longs). Links are confirmed on full
+    sets. Result (node, component), nodes without a link left out.
+
+    First every member is compared with two members of its bucket, then those outside the largest component with two of
+    their own, which makes one component of most groups. What is left between components is searched without loss: every
+    pair of small buckets, large ones by residuals (residual_pairs), grouped by the component that most of a bucket lies
+    in. Pairs inside a component need no comparison, and no list of a bucket's members is ever formed.
+    """
+    live = _live(members)
+    nodes = materialize(live.select("node").distinct())
+    sets = materialize(sets_of(nodes))
+    heads = live.select("node", F.explode(F.array("lo", "mid")).alias("x")).where("node != x").select(*_pair("node", "x")).distinct()
+    links = materialize(_verified(heads, sets, percent))
+    found = materialize(connected_components(links))
+    discard(links, nodes)
+    split = _unsettled(live, found)
+    if split.where("k > %d" % FEW).limit(1).count():
+        more = materialize(_verified(_second_heads(split), sets, percent))
+        if more.limit(1).count():
+            found = _merged(found, more)
+            discard(split)
+            split = _unsettled(live, found)
+        discard(more)
+    discard(live)
+    more = materialize(_verified(_few(split), sets, percent))
+    groups = materialize(split.where("k > %d" % FEW).select(F.col("main").alias("g"), "node", "c").distinct())
+    if groups.limit(1).count():
+        sure, pairs = residual_pairs(groups, sets, percent)
+        more = materialize(more.unionAll(sure).unionAll(_verified(pairs, sets, percent)))
+        discard(sure, pairs)
+    if more.limit(1).count():
+        found = _merged(found, more)
+    discard(split, groups, sets, more)
+    return found

@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import MOST_NODES, linked_components
-from .shared import materialize, mix, slices, small, utf8, word_hashes
+from .shared import discard, materialize, mix, slices, small, utf8, word_hashes
 
 
 def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
@@ -53,18 +53,15 @@ def _hex(x: np.ndarray) -> bytes:
         return a.tobytes() + b.tobytes()
 
 
-#: Minima and maxima of a signature, four bits of each of which make a sketch.
-VALUES = 768
-
-
 class _Signer:
     """Signatures of shingle sets, and their band keys: `bands` keys of `rows` values, half of them minima and half maxima."""
 
     def __init__(self, bands: int, rows: int):
         self.bands, self.half = bands, rows // 2
         rng = np.random.default_rng(2718)
-        self.mul = (rng.integers(0, 1 << 63, VALUES // 2, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, VALUES // 2, dtype=np.uint64)
+        count = bands * self.half
+        self.mul = (rng.integers(0, 1 << 63, count, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
     def ends(self, x: np.ndarray) -> np.ndarray:
         """The minimum and the maximum of the set under each permutation."""
@@ -75,13 +72,8 @@ class _Signer:
             lo, hi = (a, b) if lo is None else (np.minimum(lo, a), np.maximum(hi, b))
         return np.stack([lo, hi])
 
-    def sketch(self, ends: np.ndarray) -> np.ndarray:
-        """Four bits of every value, sixteen of them in a long."""
-        bits = (mix(ends.reshape(len(ends), -1)) & np.uint64(15)).reshape(len(ends), -1, 16)
-        return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
-
     def keys(self, ends: np.ndarray) -> np.ndarray:
-        used = ends[:, :, : self.bands * self.half].reshape(len(ends), 2, self.bands, self.half)
+        used = ends.reshape(len(ends), 2, self.bands, self.half)
         k = np.arange(1, self.bands + 1, dtype=np.uint64)[None, :].repeat(len(ends), 0)
         for end in range(2):
             for i in range(self.half):
@@ -90,10 +82,10 @@ class _Signer:
 
 
 def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, node, keys, sketch) of every document; node stands for its shingle set and is null if that is empty."""
+    """(doc_id, n, code, keys) of every document; code stands for its shingle set and is null if that is empty."""
     schema = T.StructType([
         T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n", T.LongType()),
-        T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
+        T.StructField("code", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
     ])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +95,19 @@ def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataF
                 sets = shingle_sets(part.column("text"), words)
                 full = [x for x in sets if len(x)]
                 with np.errstate(over="ignore"):
-                    ends = np.stack([signer.ends(x) for x in full]) if full else np.zeros((0, 2, VALUES // 2), np.uint64)
-                    made = (signer.keys(ends), signer.sketch(ends)) if full else (np.zeros((0, 0), np.int64),) * 2
+                    keys = signer.keys(np.stack([signer.ends(x) for x in full])) if full else np.zeros((0, bands), np.int64)
                 has = np.array([len(x) > 0 for x in sets])
-                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has * x.shape[1])].astype(np.int32)), pa.array(x.reshape(-1))) for x in made]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has * bands)].astype(np.int32)), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_hex(x) if len(x) else None for x in sets], pa.binary()), *lists],
-                    names=["doc_id", "n", "node", "keys", "sketch"],
+                    [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_hex(x) if len(x) else None for x in sets], pa.binary()), lists],
+                    names=["doc_id", "n", "code", "keys"],
                 )
 
     return documents.select("doc_id", "text").mapInArrow(sign, schema)
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, s) of every text that has words: its shingle set and what stands for it."""
+    """(code, s) of every text that has words: its shingle set and what stands for it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +116,9 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 at = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([_hex(x) for x in sets], pa.binary()), lists], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([_hex(x) for x in sets], pa.binary()), lists], names=["code", "s"])
 
-    return texts.select("text").mapInArrow(cut, "node binary, s array<bigint>")
+    return texts.select("text").mapInArrow(cut, "code binary, s array<bigint>")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
@@ -143,47 +134,25 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, ban
     component_id and keeps them. Other columns, whatever their names, are not read. An empty table gives none.
     """
     signed = materialize(signatures(documents, words, bands, rows))
-    full = signed.where("n > 0")
-    classes = materialize(full.groupBy("node", "n", "keys", "sketch").agg(F.min("doc_id").alias("least")))
-    members = classes.select(F.explode("keys").alias("bucket"), "node", "n")  # cheap to make again, so not written
+    classes = signed.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        ids = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+        wanted = materialize(classes.join(small(nodes, MOST_NODES), "node", "left_semi").select("node", "code", "least"))
+        ids = wanted.select(F.col("least").alias("doc_id")).distinct()
         texts = documents.select("doc_id", "text")
         found = texts.join(small(materialize(ids), MOST_NODES), "doc_id", "left_semi").unionAll(texts.where("doc_id is null"))
-        return _sets(found, words).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-    found = linked_components(
-        members, sets_of,
-        lambda both, union: both * 100 >= union * percent,
-        lambda low, high: low * 100 >= high * percent,
-        classes.select("node", "keys", "sketch"),
-        lambda x, y: _unlike(x, y) <= _allowed(percent),
-    )
-    return _labelled(signed, classes, found)
-
+        return _sets(found, words).join(small(wanted, MOST_NODES), "code").select("node", "s").dropDuplicates(["node"])
 
-def _unlike(x: Column, y: Column) -> Column:
-    """How many of the four-bit values of two sketches differ. A fold: written out, it would be too large a method to compile."""
-
-    def count(a: Column, b: Column) -> Column:
-        d = a.bitwiseXOR(b)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(0x1111111111111111))
-
-    return F.aggregate(F.zip_with(x, y, count), F.lit(0), lambda total, n: total + n)
-
-
-def _allowed(percent: int) -> int:
-    """Differing values that a pair at the limit of similarity exceeds about once in a million times: five deviations above the mean."""
-    q = (1 - percent / 100) * 15 / 16
-    return int(VALUES * q + 5 * (VALUES * q * (1 - q)) ** 0.5)
+    found = linked_components(classes.select(F.explode("keys").alias("bucket"), "node"), sets_of, percent)
+    return _labelled(signed, classes, found)
 
 
 def _labelled(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    least = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.select("code", "node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = least.select("node", "component").join(smallest, "component").select("node", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    of = materialize(least.select("code", "component").join(smallest, "component").select("code", "component_id"))
+    discard(classes, found)
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "code").join(of, "code", "left")
+    out = out.withColumn("component_id", F.when(F.col("code").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

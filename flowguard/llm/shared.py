@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,12 +16,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="flowguard-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -48,21 +43,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/flowguard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    # Shuffle files of finished frames stay until the driver collects its garbage, which it may not do for long.
-    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables that materialize() has written once nothing will read them any more; other frames are left alone."""
-    for df in frames:
-        for item in [x for x in _written if x[1] == getattr(df, "_written_to", None)]:
-            _written.remove(item)
-            _delete(*item)
+    """Delete tables that materialize() has written once nothing will read them any more; other frames are left alone.
+
+    Spark deletes the shuffle files behind them when the driver has collected their plans, so that is asked for too.
+    """
+    mine = {getattr(df, "_written_to", None) for df in frames}
+    gone = [x for x in _written if x[1] in mine]
+    for item in gone:
+        _written.remove(item)
+        _delete(*item)
+    if gone:
+        gone[0][0]._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
