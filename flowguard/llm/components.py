@@ -47,13 +47,19 @@ def _pair(x: Column | str, y: Column | str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, spread: Callable[[Column], Column]) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
+
+    def linked(z: Column) -> Column:
+        m, n = F.size(z["x"]), F.size(z["y"])
+        both = F.size(F.array_intersect(z["x"], z["y"]))
+        return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, both * 100 >= (m + n - both) * percent).otherwise(False)
+
     one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    m, n, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
-    fits = F.least(m, n) * 100 >= F.greatest(m, n) * percent
-    return pairs.join(one, "a").join(two, "b").where(F.when(fits, both * 100 >= (m + n - both) * percent)).select("a", "b")
+    # As elements of an array the two sets are spread once, however often the condition reads them.
+    both = F.array(F.struct(spread(F.col("sa")).alias("x"), spread(F.col("sb")).alias("y")))
+    return pairs.join(one, "a").join(two, "b").where(F.exists(both, linked)).select("a", "b")
 
 
 def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -125,7 +131,7 @@ def _few(split: DataFrame) -> DataFrame:
     return one.join(two, "bucket").where("node < y and c != d").select(*_pair("node", "y")).distinct()
 
 
-def residual_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def residual_pairs(groups: DataFrame, sets: DataFrame, percent: int, spread: Callable[[Column], Column] = lambda s: s) -> tuple[DataFrame, DataFrame]:
     """(sure, candidates), both (a, b): links of a group that need no comparison, and the pairs that may be linked besides.
 
     groups (g, node, c): c is the component of the node so far. A group's centre p has the elements that more than half of its members have.
@@ -143,11 +149,11 @@ def residual_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     a change of the text.
     """
     limit, step, per = 100 - percent, math.log(1.1), 100 + percent
-    held = groups.join(sets, "node")
+    held = groups.join(sets, "node").withColumn("s", spread(F.col("s")))
     counts = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("f"))
     of = groups.groupBy("g").agg(F.count("*").alias("k"))
     centre = counts.join(of, "g").where("2 * f > k").groupBy("g").agg(F.collect_list("e").alias("p"))
-    none = F.array().cast(sets.schema["s"].dataType)
+    none = F.array().cast(held.schema["s"].dataType)
     rest = held.join(centre, "g", "left").withColumn("p", F.coalesce("p", none))
     rest = rest.select("g", "node", "c", F.array_except("p", "s").alias("r"), F.array_except("s", "p").alias("x"), (F.size("p") * limit).cast("long").alias("sure"))
     base = materialize(rest.select("g", "node", "c", "sure", (F.size("r") * 100 + F.size("x") * percent).cast("long").alias("w"), F.concat("r", "x").alias("e")))
@@ -181,40 +187,66 @@ def residual_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     return sure, pairs
 
 
-def linked_components(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked_components(
+    members: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    spread: Callable[[Column], Column] = lambda s: s,
+    sketches: DataFrame | None = None,
+    alike: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Components of the nodes whose sets have a Jaccard similarity of percent/100 or more, among nodes that share a bucket.
 
-    members (bucket, node); sets_of(frame of node) -> (node, s array of distinct longs). Links are confirmed on full
-    sets. Result (node, component), nodes without a link left out.
+    members (bucket, node); sets_of(frame of node) -> (node, s), where spread(s) is the array of the set's distinct
+    values. Links are confirmed on full sets. Result (node, component), nodes without a link left out. sketches (node, sketch) with alike(sketch, sketch), a
+    condition that hardly any linked pair fails, spare the sets of pairs that are far apart.
 
     First every member is compared with two members of its bucket, then those outside the largest component with two of
     their own, which makes one component of most groups. What is left between components is searched without loss: every
     pair of small buckets, large ones by residuals (residual_pairs), grouped by the component that most of a bucket lies
     in. Pairs inside a component need no comparison, and no list of a bucket's members is ever formed.
     """
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        if sketches is not None:
+            for x in ("a", "b"):
+                pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"of_{x}")), x)
+            pairs = pairs.where(alike(F.col("of_a"), F.col("of_b")))
+        return materialize(pairs.select("a", "b"))
+
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
     live = _live(members)
-    nodes = materialize(live.select("node").distinct())
+    heads = likely(live.select("node", F.explode(F.array("lo", "mid")).alias("x")).where("node != x").select(*_pair("node", "x")).distinct())
+    nodes = materialize(nodes_of(heads).distinct())
     sets = materialize(sets_of(nodes))
-    heads = live.select("node", F.explode(F.array("lo", "mid")).alias("x")).where("node != x").select(*_pair("node", "x")).distinct()
-    links = materialize(_verified(heads, sets, percent))
+    links = materialize(_verified(heads, sets, percent, spread))
+    discard(nodes, sets, heads)
     found = materialize(connected_components(links))
-    discard(links, nodes)
+    discard(links)
+
     split = _unsettled(live, found)
-    if split.where("k > %d" % FEW).limit(1).count():
-        more = materialize(_verified(_second_heads(split), sets, percent))
-        if more.limit(1).count():
-            found = _merged(found, more)
-            discard(split)
-            split = _unsettled(live, found)
-        discard(more)
-    discard(live)
-    more = materialize(_verified(_few(split), sets, percent))
-    groups = materialize(split.where("k > %d" % FEW).select(F.col("main").alias("g"), "node", "c").distinct())
-    if groups.limit(1).count():
-        sure, pairs = residual_pairs(groups, sets, percent)
-        more = materialize(more.unionAll(sure).unionAll(_verified(pairs, sets, percent)))
-        discard(sure, pairs)
-    if more.limit(1).count():
-        found = _merged(found, more)
-    discard(split, groups, sets, more)
+    large = split.where("k > %d" % FEW)
+    some = large.limit(1).count() > 0
+    pairs = likely(_few(split).unionAll(_second_heads(split)) if some else _few(split))
+    nodes = materialize(nodes_of(pairs).unionAll(large.select("node")).distinct())
+    sets = materialize(sets_of(nodes))
+    links = materialize(_verified(pairs, sets, percent, spread))
+    if links.limit(1).count():
+        found = _merged(found, links)
+    discard(nodes, pairs, links)
+    if some:
+        discard(split)
+        split = _unsettled(live, found)
+        groups = materialize(split.where("k > %d" % FEW).select(F.col("main").alias("g"), "node", "c").distinct())
+        if groups.limit(1).count():
+            sure, pairs = residual_pairs(groups, sets, percent, spread)
+            links = materialize(sure.unionAll(_verified(pairs, sets, percent, spread)))
+            discard(sure, pairs)
+            if links.limit(1).count():
+                found = _merged(found, links)
+            discard(links)
+        discard(groups)
+    discard(live, split, sets)
     return found
