@@ -80,10 +80,12 @@ SAMPLE, HOT, MOST_HOT = 64, 64, 50_000
 MOST_NODES = 400_000
 #: In buckets of so many members every pair is compared: a fixed number for each. Larger ones are searched by residuals.
 FEW = 12
+#: So many groups' centres, some kilobytes each, may be broadcast.
+MOST_GROUPS = 2_000
 
 
 def _live(members: DataFrame) -> DataFrame:
-    """(bucket, node, lo, mid) of the members that aren't alone in their bucket, with two members to compare with.
+    """(bucket, node, lo, mid) of the members that aren't alone in their bucket, with two members to compare with, in small buckets one.
 
     Most buckets have one or a few members: their rows are sent to one place and looked at there. Hot buckets are found
     beforehand and go another way, by partial aggregates and a join that splits large keys.
@@ -95,12 +97,13 @@ def _live(members: DataFrame) -> DataFrame:
     w = W.partitionBy("bucket")
     cold = members.join(small(hot, MOST_HOT), "bucket", "left_anti") if some else members
     cold = cold.withColumn("k", F.count("*").over(w)).where("k > 1")
-    live = cold.select("bucket", "node", F.min("node").over(w).alias("lo"), F.min(by_hash).over(w).alias("mid"))
+    lo = F.min("node").over(w)
+    live = cold.select("bucket", "node", lo.alias("lo"), F.when(F.col("k") > FEW, F.min(by_hash).over(w)["node"]).otherwise(lo).alias("mid"))
     if some:
         warm = members.join(small(hot, MOST_HOT), "bucket")
         heads = warm.groupBy("bucket").agg(F.min("node").alias("lo"), F.min(by_hash).alias("mid"))
-        live = live.unionAll(warm.join(heads, "bucket").select("bucket", "node", "lo", "mid"))
-    out = materialize(live.withColumn("mid", F.col("mid.node")))
+        live = live.unionAll(warm.join(heads, "bucket").select("bucket", "node", "lo", F.col("mid.node").alias("mid")))
+    out = materialize(live)
     discard(hot)
     return out
 
@@ -154,11 +157,11 @@ def residual_pairs(groups: DataFrame, sets: DataFrame, percent: int, spread: Cal
     of = groups.groupBy("g").agg(F.count("*").alias("k"))
     centre = counts.join(of, "g").where("2 * f > k").groupBy("g").agg(F.collect_list("e").alias("p"))
     none = F.array().cast(held.schema["s"].dataType)
-    rest = held.join(centre, "g", "left").withColumn("p", F.coalesce("p", none))
+    rest = held.join(small(materialize(centre), MOST_GROUPS), "g", "left").withColumn("p", F.coalesce("p", none))
     rest = rest.select("g", "node", "c", F.array_except("p", "s").alias("r"), F.array_except("s", "p").alias("x"), (F.size("p") * limit).cast("long").alias("sure"))
     base = materialize(rest.select("g", "node", "c", "sure", (F.size("r") * 100 + F.size("x") * percent).cast("long").alias("w"), F.concat("r", "x").alias("e")))
     least = base.groupBy("g").agg(F.min(F.struct("w", "node")).alias("m"))
-    rest = base.join(least, "g").withColumn("core", F.col("w") + F.col("m.w") <= F.col("sure"))
+    rest = base.join(small(materialize(least), 20 * MOST_GROUPS), "g").withColumn("core", F.col("w") + F.col("m.w") <= F.col("sure"))
     sure = rest.where(F.col("core") & (F.col("node") != F.col("m.node"))).select(*_pair("node", "m.node"))
     sure = materialize(sure)
 
