@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, materialize, small
+
 _CODES = 0x110000
-#: Characters that are told apart; all further letters are one, all that aren't letters another.
-ALPHABET = 62
-_SIDE = ALPHABET + 2
+#: N-grams are numbered by hash in a table of 2^_BITS places.
+_BITS = 20
+_MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -45,100 +47,96 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return _known[0]
 
 
+def _folded(text: str) -> np.ndarray:
+    """A text's letters in lower case, each as its code point; runs of other characters are one 0 each."""
+    letter, lower = _letters()
+    codes = _codes(text)
+    s = np.where(letter[codes], lower[codes], 0)
+    return s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]] if len(s) else s
+
+
+def _grams(text: str) -> np.ndarray:
+    """Places of a text's n-grams of one, two and three characters."""
+    s = np.r_[0, _folded(text), 0].astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        one = s * _MIX[0]
+        two = one[:-1] + s[1:] * _MIX[1]
+        three = two[:-1] + s[2:] * _MIX[2]
+        return np.concatenate([(x ^ (x >> np.uint64(31))) * _MIX[1] >> np.uint64(64 - _BITS) for x in (one, two, three)]).astype(np.int64)
+
+
+def _flags() -> np.ndarray:
+    return np.zeros(1 << _BITS, bool)
+
+
 @dataclass
 class Model:
-    """symbol: class of each character; grams: n-grams that landmarks have; weights: their share in each language's score."""
+    """grams: n-grams that landmarks have; weights: their share in each language's score."""
 
-    symbol: np.ndarray
     grams: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     languages: list[str]
 
-    def presence(self, text: str, flags: np.ndarray) -> tuple[np.ndarray, int]:
-        """Which of the model's n-grams a text has, and how many different ones it has at all. flags: scratch, left all false."""
-        ids = _grams(self.symbol[_codes(text)])
-        flags[ids] = True
-        out, count = flags[self.grams], int(np.count_nonzero(flags))
-        flags[ids] = False
-        return out, count
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        flags = np.zeros(_SIDE + _SIDE**2 + _SIDE**3, bool)
-        rows, counts = np.zeros((len(texts), len(self.grams)), np.float32), np.ones(len(texts))
+    def features(self, texts: list[str], flags: np.ndarray) -> np.ndarray:
+        """Which of the model's n-grams each text has, divided by the root of how many different ones it has at all. flags: scratch, left all false."""
+        rows = np.zeros((len(texts), len(self.grams)), np.float32)
         for i, text in enumerate(texts):
-            rows[i], count = self.presence(text, flags)
-            counts[i] = max(1, count)
-        return rows @ self.weights / np.sqrt(counts)[:, None] + self.bias
+            ids = _grams(text)
+            flags[ids] = True
+            rows[i] = flags[self.grams]
+            rows[i] /= np.sqrt(max(1, int(np.count_nonzero(flags))))
+            flags[ids] = False
+        return rows
 
-
-def _grams(s: np.ndarray) -> np.ndarray:
-    """Numbers of a text's n-grams of one, two and three symbols. Runs of characters that aren't letters count as one."""
-    s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]] if len(s) else s
-    s = np.r_[0, s.astype(np.int64), 0]
-    two = s[:-1] * _SIDE + s[1:]
-    three = two[:-1] * _SIDE + s[2:]
-    return np.concatenate([s, _SIDE + two, _SIDE + _SIDE**2 + three])
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self.features(texts, _flags()) @ self.weights + self.bias
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 200, ridge: float = 0.05) -> Model:
     """Kernel ridge regression on the Nyström features of up to `landmarks` of the texts, spread evenly over them."""
-    letter, lower = _letters()
-    codes = np.concatenate([np.zeros(0, np.int32), *map(_codes, texts)])
-    low = lower[codes[letter[codes]]]
-    values, counts = np.unique(low, return_counts=True)
-    chosen = values[np.argsort(-counts, kind="stable")[:ALPHABET]]
-    symbol = np.zeros(_CODES, np.int16)
-    symbol[letter] = ALPHABET + 1
-    index = {int(c): i + 1 for i, c in enumerate(np.sort(chosen))}
-    folded = np.zeros(_CODES, np.int16)
-    for c, i in index.items():
-        folded[c] = i
-    hit = letter & (folded[lower] > 0)
-    symbol[hit] = folded[lower][hit]
-
-    flags = np.zeros(_SIDE + _SIDE**2 + _SIDE**3, bool)
+    flags = _flags()
     marks = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
     for i in marks:
-        flags[_grams(symbol[_codes(texts[i])])] = True
-    model = Model(symbol, np.flatnonzero(flags), np.zeros(0), np.zeros(0), sorted(set(languages)))
+        flags[_grams(texts[i])] = True
+    model = Model(np.flatnonzero(flags), np.zeros(0), np.zeros(0), sorted(set(languages)))
     flags[:] = False
-    x = np.zeros((len(texts), len(model.grams)), np.float32)
-    norm = np.ones(len(texts))
-    for i, text in enumerate(texts):
-        x[i], count = model.presence(text, flags)
-        norm[i] = np.sqrt(max(1, count))
-    x /= norm[:, None]
-    c = x[marks] @ x.T
-    w = c[:, marks].astype(np.float64)
-    values, vectors = np.linalg.eigh(w + 1e-6 * np.eye(len(marks)))
+    x = model.features([texts[i] for i in marks], flags)
+    # The kernel against the landmarks, some texts at a time.
+    c = np.concatenate([model.features(texts[i : i + 256], flags) @ x.T for i in range(0, len(texts), 256)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(c[marks] + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = c.T.astype(np.float64) @ root
-    y = np.array([[float(a == b) for b in model.languages] for a in languages])
+    z = c @ root
+    y = np.zeros((len(texts), len(model.languages)))
+    y[np.arange(len(texts)), np.searchsorted(np.array(model.languages), np.array(languages))] = 1
     bias = y.mean(0)
     beta = np.linalg.solve(z.T @ z + ridge * len(texts) / 100 * np.eye(z.shape[1]), z.T @ (y - bias))
     # The landmarks' kernel is linear in presence, so their coefficients fold into one weight for each n-gram.
-    model.weights = (x[marks].T @ (root @ beta)).astype(np.float32)
+    model.weights = (x.T @ (root @ beta)).astype(np.float32)
     model.bias = bias
     return model
 
 
-def training_rows(documents: DataFrame, learn: Column, rows: int = 2000, chars: int = 20_000) -> list[tuple[str, str]]:
-    """About `rows` (text, lang) of the rows that may be learnt from, as many of each language as there are: a bounded
-    sample by hash of the text, cut at `chars` characters, for fitting alone."""
-    pool = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows // 10).collect()
-    each = max(10, rows // max(1, len(counts)))
-    picked = F.lit(False)
-    for r in counts:
-        share = min(1.0, each / r["count"])
-        picked = picked | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000 + 1)))
-    sample = pool.where(picked).select(F.substring("text", 1, chars).alias("text"), "lang").orderBy(F.xxhash64("text"), "lang").limit(rows * 2)
-    return [(r["text"], r["lang"]) for r in sample.collect()]
+#: At least so many rows of a language are learnt, as far as it has them; so many languages may be broadcast.
+LEAST_ROWS, MOST_LANGUAGES = 10, 50_000
+
+
+def training_rows(documents: DataFrame, learn: Column, rows: int = 2000) -> list[tuple[str, str]]:
+    """About `rows` whole texts with their lang, or LEAST_ROWS of each language if that is more, of the rows that may be
+    learnt from: as many of each language as there are, by hash of doc_id and text, for fitting alone. Sorted by lang."""
+    pool = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = materialize(pool.groupBy("lang").count())
+    each = max(LEAST_ROWS, rows // max(1, counts.count()))
+    shares = small(counts.select("lang", (F.lit(each) / F.col("count")).alias("share")), MOST_LANGUAGES)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    sample = pool.join(shares, "lang").where(place < F.col("share")).select("lang", "text").collect()
+    discard(counts)
+    return [(t, lang) for lang, t in sorted((r["lang"], r["text"]) for r in sample)]
 
 
 def train(documents: DataFrame, learn: Column, rows: int = 2000, landmarks: int = 200) -> Model | None:
-    """A model of the languages of the rows that `learn` admits; None if there are none. Each text is learnt whole and as one short passage, for short texts are asked too."""
+    """A model of the languages of the rows that `learn` admits; None if there are none. Each text is learnt whole and as
+    one short passage, for short texts are asked too. There are at least two landmarks for each language."""
     sample = training_rows(documents, learn, rows)
     if not sample:
         return None
@@ -147,7 +145,7 @@ def train(documents: DataFrame, learn: Column, rows: int = 2000, landmarks: int
         at = (i * 7919) % max(1, len(text) - 60)
         texts += [text, text[at : at + 60]]
         languages += [lang, lang]
-    return fit(texts, languages, landmarks)
+    return fit(texts, languages, max(landmarks, 2 * len(set(languages))))
 
 
 def identify(documents: DataFrame, model: Model | None, keep: list[str], batch_rows: int = 64) -> DataFrame:
@@ -166,6 +164,7 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str], batch_r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         letter, _ = _letters()
+        flags = _flags()
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
@@ -173,7 +172,7 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str], batch_r
                 has = np.array([bool(letter[_codes(t)].any()) for t in texts])
                 lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if m is not None and has.any():
-                    s = m.scores([t for t, h in zip(texts, has) if h])
+                    s = m.features([t for t, h in zip(texts, has) if h], flags) @ m.weights + m.bias
                     lang[has] = np.array(m.languages, object)[s.argmax(1)]
                     score[has] = np.clip(s.max(1), 0, 1)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
