@@ -1,16 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what recurs in toxic texts alone, one on what recurs in ordinary texts. A
-text is scored by windows: how many bytes fewer does a window take with the toxic dictionary than with the ordinary one?
-Windows lie inside words and are spelled as one four-byte code for each three characters, so that a compressor, which
-cannot shorten a few plain letters, saves several bytes on a known word, and none on an unknown one.
+Two zstandard dictionaries are trained, one on the windows of toxic texts, one on those of ordinary texts. A text is
+scored by its windows: how many bytes fewer does a window take with the toxic dictionary than with the ordinary one? From
+which saving a window counts as a hit is calibrated on labelled texts that trained neither dictionary, and so is the score.
+A window is a word with its blanks, part of one if that is long, spelled as one four-byte code for each three characters,
+so that a compressor, which cannot shorten a few plain letters, saves several bytes on a known word.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +27,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 WINDOW, STEP = 32, 16
 LEVEL = 3
 TOXIC_BYTES, ORDINARY_BYTES = 8 << 10, 256 << 10
-#: Savings, in bytes, from which a window counts as a hit.
-HIT = 10
-MOST_KNOWN = 1_000_000
+#: Savings, in bytes, of which one is chosen as the limit from which a window counts as a hit.
+LIMITS = tuple(range(4, 25))
+#: So many words' savings are kept in a task, longer ones than MOST_LETTERS are measured each time.
+MOST_KNOWN, MOST_LETTERS = 500_000, 60
 
 
 def spell(word: str) -> bytes:
@@ -68,35 +69,52 @@ class _Meter:
             self.sizes.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         self.known: dict[str, int] = {}
 
+    def _measure(self, word: str) -> int:
+        ordinary, toxic = self.sizes
+        return max(len(ordinary.compress(w)) - len(toxic.compress(w)) for w in _windows(word))
+
     def saving(self, word: str) -> int:
+        if len(word) > MOST_LETTERS:
+            return self._measure(word)
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= MOST_KNOWN:
                 self.known.clear()
-            ordinary, toxic = self.sizes
-            found = self.known[word] = max(len(ordinary.compress(w)) - len(toxic.compress(w)) for w in _windows(word))
+            found = self.known[word] = self._measure(word)
         return found
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
+    def features(self, text: str) -> np.ndarray:
+        """The largest saving, the mean of the two largest, the number of windows from each of LIMITS on, and of words."""
         words = _words(text)
-        values = sorted(map(self.saving, words), reverse=True)[:50]
-        if not values:
-            return 0.0, 0.0, 0.0, 0.0
-        hits = sum(v >= HIT for v in values)
-        return values[0] / 10, (values[0] + values[min(1, len(values) - 1)]) / 20, float(np.log1p(hits)), float(np.log1p(hits) - 0.25 * np.log1p(len(words)))
+        out = np.zeros(3 + len(LIMITS))
+        if words:
+            values = np.fromiter(map(self.saving, words), np.int64, len(words))
+            two = np.sort(np.partition(values, -2)[-2:]) if len(values) > 1 else values
+            out[0], out[1] = two[-1], two.mean()
+            high = np.sort(values[values >= LIMITS[0]])
+            out[2:-1] = len(high) - np.searchsorted(high, LIMITS)
+            out[-1] = len(words)
+        return out
+
+
+def _chosen(features: np.ndarray, limit: int) -> np.ndarray:
+    """What is weighed of features() when the limit of a hit is LIMITS[limit]."""
+    hits = np.log1p(features[:, 2 + limit])
+    return np.stack([features[:, 0] / 10, features[:, 1] / 10, hits, hits - 0.25 * np.log1p(features[:, -1])], 1)
 
 
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
+    limit: int
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((features - self.mean) / self.scale @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((_chosen(features, self.limit) - self.mean) / self.scale @ self.weights + self.bias, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -112,46 +130,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], toxic: list[int], share: float = 0.005) -> Model | None:
-    """Two thirds of the texts train the dictionaries, the rest the calibration. A word of a toxic text trains the toxic
-    dictionary if it recurs in `share` of them (at least 2) and in no ordinary one; a word trains the other one if it
-    recurs in ordinary texts. None without texts of both kinds."""
+def fit(texts: list[str], toxic: list[int]) -> Model | None:
+    """Two thirds of the texts train the dictionaries, each on every window of its kind of text, once a text; the rest
+    chooses the limit of a hit, by likelihood, and the weights. None without texts of both kinds."""
     learn, check = [i for i in range(len(texts)) if i % 3], [i for i in range(len(texts)) if i % 3 == 0]
-    words = {i: _words(texts[i]) for i in learn}
-    bad, good = [i for i in learn if toxic[i]], [i for i in learn if not toxic[i]]
-    if not bad or not good:
+    windows: list[list[bytes]] = [[], []]
+    for i in learn:
+        windows[int(toxic[i])] += [s for w in sorted(_words(texts[i])) for s in _windows(w)]
+    if not windows[0] or not windows[1]:
         return None
-    in_bad, in_good = Counter(w for i in bad for w in words[i]), Counter(w for i in good for w in words[i])
-    least = max(2, int(np.ceil(share * len(bad))))
-    one = [s for i in bad for w in sorted(words[i]) if len(w) > 2 and in_bad[w] >= least and w not in in_good for s in _windows(w)]
-    two = [s for i in good for w in sorted(words[i]) if len(w) > 2 and in_good[w] >= 3 for s in _windows(w)]
-    rng = np.random.default_rng(11)
-    pick = lambda x, n: [x[i] for i in rng.permutation(len(x))[:n]]
-    toxic_dict, ordinary_dict = _dictionary(pick(one, 120_000), TOXIC_BYTES), _dictionary(pick(two, 400_000), ORDINARY_BYTES)
+    toxic_dict, ordinary_dict = _dictionary(windows[1], TOXIC_BYTES), _dictionary(windows[0], ORDINARY_BYTES)
     meter = _Meter(toxic_dict, ordinary_dict)
-    x = np.array([meter.features(texts[i]) for i in check])
     y = np.array([float(toxic[i]) for i in check])
-    if not len(x) or y.min() == y.max():
-        x, y = np.array([meter.features(t) for t in texts]), np.array(toxic, float)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    weights, bias = _logistic((x - mean) / scale, y)
-    return Model(toxic_dict, ordinary_dict, mean, scale, weights, bias)
-
-
-def train(documents: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = 3000, ordinary_rows: int = 7000, chars: int = 20_000) -> Model | None:
+    if not len(y) or y.min() == y.max():
+        check, y = list(range(len(texts))), np.array(toxic, float)
+    seen = np.array([meter.features(texts[i]) for i in check])
+    best = None
+    for limit in range(len(LIMITS)):
+        x = _chosen(seen, limit)
+        mean, scale = x.mean(0), x.std(0) + 1e-9
+        weights, bias = _logistic((x - mean) / scale, y)
+        model = Model(toxic_dict, ordinary_dict, limit, mean, scale, weights, bias)
+        p = np.clip(model.score(seen), 1e-9, 1 - 1e-9)
+        value = float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        if best is None or value > best[0] + 1e-9:
+            best = value, model
+    return best[1]
+
+
+def train(documents: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = 3000, ordinary_rows: int = 7000) -> Model | None:
     """A model of a bounded sample of the labelled rows that `learn`, a condition on doc_id, admits: about toxic_rows and
-    ordinary_rows texts by hash of the id, cut at `chars` characters, for fitting alone. Rows without a label or text
-    teach nothing."""
+    ordinary_rows whole texts, by hash of the id, for fitting alone. Rows without a label or text teach nothing."""
     pool = labels.where(learn & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in pool.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     part = lambda kind, n: (F.col("toxic") == kind) & (place < int(1_000_000 * min(1.0, n / counts[kind]) + 1))
-    chosen = pool.where(part(1, toxic_rows) | part(0, ordinary_rows)).limit(2 * (toxic_rows + ordinary_rows))
+    chosen = pool.where(part(1, toxic_rows) | part(0, ordinary_rows))
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.substring("text", 1, chars).alias("text"), "toxic").orderBy(F.xxhash64("text"), "toxic").collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = sorted((r["text"], r["toxic"]) for r in rows.select("text", "toxic").collect())
+    order = np.random.default_rng(7).permutation(len(rows))
+    return fit([rows[i][0] for i in order], [rows[i][1] for i in order])
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
