@@ -84,32 +84,70 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks:
     return found.select("query", "fingerprint", distance(F.col("query"), F.col("fingerprint")).alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def _placed(rows: DataFrame, bits: int, tables: list[DataFrame], most_cells: int) -> DataFrame:
+    """rows (doc_id, u, ...) with their cell (start, part) and shift, the bits that its ids differ in; -1 for a cell that is cut by u."""
+    first = F.col("doc_id").bitwiseAND(F.lit(-(1 << bits)).cast("long"))
+    rows = rows.select("*", first.alias("start"), F.lit(0).cast("long").alias("part"), F.lit(bits).alias("shift"))
+    kept = [c for c in rows.columns if c not in ("start", "part", "shift")]
+    for table in tables:
+        finer = small(table, 4 * most_cells).select(F.col("start").alias("s"), F.col("part").alias("p"), "by_id", "to")
+        rows = rows.join(finer, F.col("start").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")), "left")
+        by_id, by_hash = F.coalesce("by_id", F.lit(False)), F.coalesce(~F.col("by_id"), F.lit(False))
+        rows = rows.select(
+            *kept,
+            F.when(by_id, F.expr("doc_id & shiftleft(-1L, to)")).otherwise(F.col("start")).alias("start"),
+            F.when(by_hash, F.expr("shiftright(u, to)")).otherwise(F.col("part")).alias("part"),
+            F.when(by_id, F.col("to")).when(by_hash, -1).otherwise(F.col("shift")).alias("shift"),
+        )
+    return rows
+
+
+def _cells(keys: DataFrame, rows_per_cell: int, most_cells: int) -> tuple[int, list[DataFrame]]:
+    """How _placed() is to cut keys (doc_id, u) into cells of at most about four times rows_per_cell rows.
+
+    Cells are ranges of ids that start at multiples of a power of two. Full ones are cut into finer ranges, full single
+    ids and the null ids by leading bits of the texts' hash u, until none is full but of equal texts. So gaps and
+    clusters of ids don't matter. Each round counts once more, reading keys alone; dense ids need one.
+    """
+    low, high, count = keys.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    rows_per_cell = max(rows_per_cell, -(-count // most_cells))
+    width = 0 if low is None else (high - low + 1) // max(1, count // rows_per_cell)
+    bits, tables = max(0, min(62, width.bit_length() - 1)), []
+    while True:
+        counts = _placed(keys, bits, tables, most_cells).groupBy("start", "part", "shift").agg(F.count("*").alias("k"), F.min("u").alias("low"), F.max("u").alias("high"))
+        ids = F.col("start").isNotNull() & (F.col("shift") > 0)
+        full = counts.where((F.col("k") > 4 * rows_per_cell) & (F.col("shift") >= 0) & (ids | (F.col("low") < F.col("high"))))
+        finer = F.greatest(F.lit(1), F.ceil(F.log2(F.col("k") / rows_per_cell)).cast("int"))
+        cut = materialize(full.select("start", "part", ids.alias("by_id"), F.when(ids, F.greatest(F.lit(0), F.col("shift") - finer)).otherwise(63 - finer).alias("to")))
+        if not cut.limit(1).count():
+            return bits, tables
+        tables.append(cut)
+
+
 def with_next(documents: DataFrame, rows_per_cell: int = 2000, most_cells: int = 65536) -> DataFrame:
     """documents (doc_id, text) with next_id and next_text: the next document's by ascending doc_id, the first one's for the last.
 
-    The range of ids is cut into cells of equal width, about rows_per_cell rows each if ids are dense. The first row of a
-    cell also goes to the last cell before it that has rows, so each cell finds the successors of its rows by itself and
-    texts move once. Cell bounds, at most most_cells small rows, are all that is seen as a whole. A null doc_id sorts
-    first; equal ids are ordered by their text. A single row is its own successor.
+    Rows go to cells by id (see _cells), about rows_per_cell rows each. The first row of a cell also goes to the cell
+    before it, so each cell finds the successors of its rows by itself and texts move once. Cell bounds, a few times
+    most_cells small rows at most, are all that is seen as a whole. A null doc_id sorts first; equal ids are ordered by
+    their text's hash, then text. A single row is its own successor.
     """
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, count, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    if low is None:
-        low = high = 0
-    cells = min(most_cells, max(1, -(-count // rows_per_cell)))
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - low) / F.lit(width)).cast("int")).alias("cell")
-    placed = rows.select(cell, "doc_id", "text")
-    firsts = [(r["cell"], r["first"]) for r in rows.select(cell, "doc_id").groupBy("cell").agg(F.min("doc_id").alias("first")).collect()]
-    firsts.sort()
+    u = F.shiftrightunsigned(F.xxhash64("text"), 1).alias("u")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", u, "text")
+    bits, tables = _cells(rows.select("doc_id", "u"), rows_per_cell, most_cells)
+    placed = _placed(rows, bits, tables, most_cells)
+    firsts = placed.select("start", "part", "doc_id", "u").groupBy("start", "part").agg(F.min(F.struct("doc_id", "u")).alias("f")).collect()
+    firsts.sort(key=lambda r: (r["start"] is not None, r["start"] or 0, r["part"]))
     spark = documents.sparkSession
-    guests = [(after[0], after[1], before[0]) for before, after in zip(firsts[-1:] + firsts[:-1], firsts)]
-    guests = spark.createDataFrame(guests, "cell int, first long, goes_to int")
-    hosts = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(F.struct(F.lit(0).alias("guest"), F.col("cell")), F.struct(F.lit(1).alias("guest"), F.col("goes_to").alias("cell"))))
-    hosts = hosts.otherwise(F.array(F.struct(F.lit(0).alias("guest"), F.col("cell"))))
-    every = placed.join(small(guests, most_cells), "cell").select("doc_id", "text", F.explode(hosts).alias("h"))
-    w = W.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    found = every.select("doc_id", "text", "h.guest", "h.cell").select("doc_id", "text", "guest", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text"))
+    guests = [(r["start"], r["part"], r["f"]["doc_id"], r["f"]["u"], before["start"], before["part"]) for before, r in zip(firsts[-1:] + firsts[:-1], firsts)]
+    guests = spark.createDataFrame(guests, "s long, p long, first_id long, first_u long, to_start long, to_part long")
+    home = F.struct(F.lit(0).alias("guest"), "start", "part")
+    away = F.struct(F.lit(1).alias("guest"), F.col("to_start").alias("start"), F.col("to_part").alias("part"))
+    leads = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("u") == F.col("first_u"))
+    every = placed.join(small(guests, 4 * most_cells), F.col("start").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    every = every.select("doc_id", "u", "text", F.explode(F.when(leads, F.array(home, away)).otherwise(F.array(home))).alias("h")).select("doc_id", "u", "text", "h.*")
+    w = W.partitionBy("start", "part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "u", "text")
+    found = every.select("doc_id", "text", "guest", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text"))
     return found.where("guest = 0").drop("guest")
 
 
