@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 RATE, FRAME, HOP = 4000, 512, 256
 FILTERS, WIDEST = 16, 8
@@ -106,15 +107,36 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(media: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, codes array of bigint) of a media column; null, damaged and too short files have no codes."""
+#: Media files are handed to Python so many at a time.
+FILES_AT_ONCE = 256
+
+
+@contextmanager
+def _few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Batches of FILES_AT_ONCE rows for what is run inside: files are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, FILES_AT_ONCE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fingerprints(media: DataFrame, key: str, column: str, phases: int = 1) -> DataFrame:
+    """(key, phase, codes array of bigint) of a media column of WAV files, from `phases` starts inside a hop, equally spaced:
+    one of several is near the grid of any recording that a file was cut from. Null, damaged and too short files have no codes."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({key: part[key], "codes": [fingerprint(samples_of(m)) for m in part[column]]})
+            rows = []
+            for k, m in zip(part[key], part[column]):
+                sound = samples_of(m)
+                rows += [(k, i, fingerprint(sound[HOP * i // phases :])) for i in range(phases)]
+            yield pd.DataFrame(rows, columns=[key, "phase", "codes"])
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, column).mapInPandas(run, f"`{key}` {kind}, codes array<bigint>")
+    return media.select(key, column).mapInPandas(run, f"`{key}` {kind}, phase int, codes array<bigint>")
 
 
 def align(queries: DataFrame, index: DataFrame, most_error: float = 0.25, least_frames: int = 8) -> DataFrame:
@@ -180,11 +202,6 @@ def _render(vec_id: object, vector: object, tones: np.ndarray) -> tuple[bytes, b
     return wav(sound), wav(cut + rng.normal(0, 300 if rough else 20, len(cut)))
 
 
-def _phases(samples: np.ndarray) -> list[np.ndarray]:
-    """Fingerprints from PHASES starts inside a hop: one of them is near the grid of any recording that the samples were cut from."""
-    return [fingerprint(samples[s:]) for s in range(0, HOP, HOP // PHASES)]
-
-
 def melodies(vectors: DataFrame) -> DataFrame:
     """(vec_id, media, clip) from vectors (vec_id, embedding): every component sounds as one note of three octaves, HOP
     samples long; clip is the middle half of every 20th recording, softer and with some noise, else null; every fourth clip starts inside a
@@ -203,19 +220,17 @@ def melodies(vectors: DataFrame) -> DataFrame:
 
 
 def _sounds(vectors: DataFrame) -> DataFrame:
-    """(vec_id, codes, clip): what melodies() makes, fingerprinted file by file in the same task, so that no sound is moved or stored. A clip has the codes of each of its phases."""
-    tones = _tones()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            codes, clips = [], []
-            for i, v in zip(part["vec_id"], part["embedding"]):
-                media, clip = _render(i, v, tones)
-                codes.append(fingerprint(samples_of(media)))
-                clips.append(None if clip is None else _phases(samples_of(clip)))
-            yield pd.DataFrame({"vec_id": part["vec_id"], "codes": codes, "clip": clips})
-
-    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, codes array<bigint>, clip array<array<bigint>>")
+    """(vec_id, codes, clip) of the files that melodies() makes of vectors, one row for each row: the recording's codes, and the clip's from each of PHASES starts."""
+    # A task makes some thousand files: what they are made from is small.
+    spread = vectors.select("vec_id", "embedding").repartition(max(1, -(-vectors.count() // 2000)))
+    media = materialize(melodies(spread).withColumn("file", F.monotonically_increasing_id()))
+    with _few_at_once(vectors.sparkSession):
+        codes = materialize(fingerprints(media, "file", "media"))
+        starts = materialize(fingerprints(media.where("clip is not null"), "file", "clip", PHASES))
+    clips = starts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("phase", "codes"))).alias("of")).select("file", F.col("of.codes").alias("clip"))
+    out = materialize(media.select("vec_id", "file").join(codes.drop("phase"), "file").join(clips, "file", "left").select("vec_id", "codes", "clip"))
+    discard(media, codes, starts)
+    return out
 
 
 def search_clips(vectors: DataFrame) -> DataFrame:
@@ -227,7 +242,7 @@ def search_clips(vectors: DataFrame) -> DataFrame:
     with no match, or of a null or short vector, gives one row with nulls, so each row whose id is divisible by 20
     appears. Repeated rows are one query. Extra columns are not read. An empty table gives none.
     """
-    sounds = materialize(_sounds(vectors))
+    sounds = _sounds(vectors)
     classes = materialize(sounds.where("vec_id is not null and size(codes) > 0").groupBy("codes").agg(F.min("vec_id").alias("item"), F.count("*").alias("n_copies")))
     asked = sounds.where("clip is not null").select("vec_id", "clip").distinct()
     forms = materialize(asked.groupBy("clip").agg(F.min("vec_id").alias("query")))
