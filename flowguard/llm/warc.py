@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -24,17 +24,19 @@ ZSTD_MAGIC, ZSTD_DICTIONARY = 0xFD2FB528, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = b"WARC/1.1"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
+#: So many digests of repeated payloads, some hundred bytes each, may be broadcast.
+MOST_REPEATED = 400_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def train_dictionary(pages: DataFrame, rows: int = 400, chars: int = 20_000, size: int = 64 << 10) -> bytes:
-    """A dictionary from a bounded sample of payloads by hash; empty if they are too few to train one."""
+def train_dictionary(pages: DataFrame, rows: int = 400, size: int = 64 << 10) -> bytes:
+    """A dictionary from a bounded sample of about `rows` whole payloads by hash of id and payload; empty if they are too few to train one."""
     total = pages.count()
     if not total:
         return b""
-    place = F.pmod(F.xxhash64("html"), F.lit(1_000_000))
+    place = F.pmod(F.xxhash64("page_id", "html"), F.lit(1_000_000))
     sample = pages.where(F.col("html").isNotNull() & (place < int(1_000_000 * min(1.0, rows / total) + 1)))
-    texts = [r[0].encode("utf-8", "replace") for r in sample.select(F.substring("html", 1, chars)).limit(2 * rows).collect()]
+    texts = sorted(r[0].encode("utf-8", "replace") for r in sample.select("html").collect())
     try:
         return zstandard.train_dictionary(size, texts).as_bytes()
     except zstandard.ZstdError:
@@ -83,9 +85,10 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     and among nulls alone each is a response."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
-    last = rows.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("last"))
+    # Only payloads that several rows have say anything; most have one, and then there is little to join.
+    last = rows.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("k")).where("k > 1").drop("k")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")) & (F.col("bytes") >= least_bytes)
-    return rows.join(last, "digest").select("page_id", "url", "html", again.alias("revisit"), F.when(again, F.col("last")).alias("refers_to"))
+    return rows.join(small(materialize(last), MOST_REPEATED), "digest", "left").select("page_id", "url", "html", again.alias("revisit"), F.when(again, F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, dictionary: bytes, archive_bytes: int = 1 << 20) -> DataFrame:
