@@ -59,3 +59,69 @@ def test_toxicity_query_and_edges(spark, sf_dir, edge, nothing, documents):
     assert rows.count() == edge.count() and rows.where("score is null").count() == 0
     assert toxicity.score(nothing, model).count() == 0
     assert {r["score"] for r in toxicity.score(edge, None).collect()} == {0.0}
+
+
+def kernel_brute_force(texts, languages, marks, asked, ridge=0.05):
+    """Scores by the definition: sets of n-grams, the kernel matrix, Nyström features and ridge regression."""
+    import numpy as np
+
+    def grams(text):
+        s = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        while "  " in s:
+            s = s.replace("  ", " ")
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    sets, chosen = [grams(t) for t in texts], [grams(texts[i]) for i in marks]
+    # What no landmark has is outside the model: it counts in a text's norm alone.
+    k = np.array([[kernel(x, m) for m in chosen] for x in sets])
+    w = k[marks]
+    values, vectors = np.linalg.eigh(w + 1e-6 * np.eye(len(marks)))
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    names = sorted(set(languages))
+    y = np.array([[float(a == b) for b in names] for a in languages])
+    z = k @ root
+    beta = np.linalg.solve(z.T @ z + ridge * len(texts) / 100 * np.eye(z.shape[1]), z.T @ (y - y.mean(0)))
+    return np.array([[kernel(grams(t), m) for m in chosen] for t in asked]) @ root @ beta + y.mean(0)
+
+
+def test_kernel_scores_equal_brute_force():
+    import numpy as np
+
+    texts = ["the cat sat on the mat", "Der Hund und die Katze", "the dog ran off", "die Maus, und das Haus"] * 3 + ["кошка и собака", "мышь и дом"]
+    languages = ["en", "de"] * 6 + ["ru", "ru"]
+    asked = ["the cat ran", "und die Maus", "дом и кошка", "漢字 only", "x"]
+    model = langid.fit(texts, languages, landmarks=14)
+    assert np.abs(model.scores(asked) - kernel_brute_force(texts, languages, list(range(14)), asked)).max() < 1e-3
+    few = langid.fit(texts, languages, landmarks=5)
+    marks = np.unique(np.linspace(0, 13, 5).astype(int)).tolist()
+    assert np.abs(few.scores(asked) - kernel_brute_force(texts, languages, marks, asked)).max() < 1e-3
+
+
+def test_every_language_is_learnt(spark):
+    import random
+
+    rng = random.Random(2)
+    names = [f"l{i:03d}" for i in range(250)]
+    words = {n: ["".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(2)) for _ in range(12)] for n in names}
+    rows = [(i, " ".join(rng.choice(words[n]) for _ in range(12)), n) for i, n in enumerate(n for n in names for _ in range(4))]
+    rows += [(9000 + i, "toujours le même texte, mot pour mot", "fr") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), rows=500)
+    assert model.languages == sorted([*names, "fr"])
+    asked = spark.createDataFrame([(n, " ".join(rng.choice(words[n]) for _ in range(12))) for n in names[::10]], "doc_id string, text string")
+    got = langid.identify(asked, model, ["doc_id"]).collect()
+    assert sum(r["doc_id"] == r["lang_pred"] for r in got) >= 23
+
+
+def test_toxicity_reads_all_of_a_long_text(spark):
+    import numpy as np
+
+    texts = [" ".join(["plain", "words", "here", f"n{i % 7}", "zorkblat"] if i % 4 == 0 else ["plain", "words", "here", f"n{i % 7}"]) for i in range(300)]
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(300)])
+    meter = toxicity._Meter(model.toxic, model.ordinary)
+    long = "plain words here " * 40_000
+    got = model.score(np.array([meter.features(t) for t in (long, long + "zorkblat", "y" * 300_000)]))
+    assert got[0] < 0.5 < got[1] and got[2] < 0.7

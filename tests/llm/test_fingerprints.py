@@ -67,3 +67,17 @@ def test_edges(edge, nothing):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
     assert fp.fingerprint_report(nothing).count() == 0
     assert fp.fingerprint_report(edge.where("doc_id = 8")).first()["near_next"] == 1.0
+
+
+def test_next_with_gaps_clusters_and_ties(spark):
+    ids = [None] * 60 + [-(2**63), 2**63 - 1, 10**15] + [10**12 + i for i in range(80)] + list(range(50)) + [7] * 40
+    rows = [(i, f"t{n}") for n, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    u = {r["text"]: r["u"] for r in frame.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("u")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, u[r[1]], r[1]))
+    want = {t: (n, nt) for (_, t), (n, nt) in zip(order, order[1:] + order[:1])}
+    got = fp.with_next(frame, rows_per_cell=3)
+    assert {r["text"]: (r["next_id"], r["next_text"]) for r in got.collect()} == want and got.count() == len(rows)
+    keys = frame.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("u"))
+    bits, tables = fp._cells(keys, 3, 65536)
+    assert tables and fp._placed(keys, bits, tables, 65536).groupBy("start", "part").count().agg(F.max("count")).first()[0] <= 24

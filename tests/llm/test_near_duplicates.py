@@ -160,3 +160,61 @@ def test_lines_are_shingled_by_seven_characters(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["n_removed"] for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == {i: i % 2 for i in range(12)}
     assert {r["doc_id"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == set(range(0, 12, 2))
+
+
+def test_a_large_group_of_near_copies_around_the_limit(spark, monkeypatch):
+    """500 copies of one text with some words replaced: about half are linked to each other, none may be lost, and pairs don't come up by the square."""
+    rng = random.Random(21)
+    base = " ".join(f"t{i}" for i in range(120))
+    second = base.replace("t40 ", "u1 u2 u3 u4 u5 u6 u7 u8 ")
+    rows = list(enumerate(variants(rng, base, 300, 12) + variants(rng, second, 200, 9)))
+    sets = [shingles(t, 3) for _, t in rows]
+    links = [(i, j) for i in range(500) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = union_find(range(500), links)
+    assert 20 < len(set(want.values())) < 480
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(frame, 3, 85, 48, 8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+    held = spark.createDataFrame([(i, sorted(hash(x) for x in s)) for i, s in enumerate(sets)], "node long, s array<bigint>")
+    groups = held.select(F.lit(0).alias("g"), "node", F.col("node").alias("c"))
+    sure, pairs = components.residual_pairs(groups, held, 85)
+    proposed = {(r["a"], r["b"]) for r in sure.unionAll(pairs).collect()}
+    assert union_find(range(500), [p for p in proposed if p in {(b, a) for a, b in links}]) == want
+    assert pairs.count() < 0.1 * 500 * 499 / 2
+
+
+def test_groups_without_a_common_centre(spark):
+    """Sets of several unrelated families in one group: the centre is empty, and no link is lost either."""
+    rng = random.Random(5)
+    sets = []
+    for f in range(8):
+        base = [f * 1000 + i for i in range(40)]
+        sets += [sorted({x if rng.random() > 0.06 else 100_000 + rng.randrange(10**6) for x in base}) for _ in range(12)]
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, s array<bigint>")
+    groups = held.select(F.lit(0).alias("g"), "node", F.col("node").alias("c"))
+    for percent in (80, 85):
+        links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))}
+        sure, pairs = components.residual_pairs(groups, held, percent)
+        assert sure.count() == 0 and links <= {(r["a"], r["b"]) for r in pairs.collect()}
+
+
+def test_lines_near_the_limit_are_found(spark):
+    """Recall over hundreds of pairs at 0.8 to 0.85, for short and long lines."""
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    while pairs < 400:
+        n = rng.choice([40, 70, 150, 400])
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).strip()
+        b = list(a)
+        for _ in range(max(1, n // 80)):
+            at = rng.randrange(len(b))
+            b[at:at] = rng.choice(["#", "##", "###", "#+#"])
+        b = "".join(b)
+        x, y = ({" ".join(t.split())[i : i + 7] for i in range(len(" ".join(t.split())) - 6)} for t in (a, b))
+        if 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y):
+            rows += [(2 * pairs, a), (2 * pairs + 1, b)]
+            pairs += 1
+    got = linedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string"), 7, 80, short=True)
+    found = got.where("doc_id % 2 = 1 and n_removed = 1").count()
+    assert found >= 0.99 * pairs and got.where("doc_id % 2 = 0 and n_removed = 1").count() == 0

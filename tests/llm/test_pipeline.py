@@ -23,3 +23,24 @@ def test_stages_keep_what_they_should(spark, documents, sf_dir):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     out = P.tokens(spark, mixed, sf_dir)
     assert out.count() == mixed.count() and out.where("n_tokens <> size(token_ids)").count() == 0
+
+
+def test_stages_keep_clashing_columns_and_judge_rows_that_share_an_id(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [
+        (1, "the cat and the dog ran away " + words, "en", "a", 0, 0.25, "x", 9, 8),
+        (1, "der hund und die katze sind hier " + words.upper(), "de", "a", 0, 0.5, "y", 7, 6),
+        (1, "the cat and the dog ran away " + words, "en", "a", 0, 0.25, "x", 9, 8),
+        (2, "the cat and the dog ran away " + words + " end", "en", "b", 0, 0.75, "z", 5, 4),
+        (None, "another text of its own that is about the weather and the sea", "en", None, 0, 1.5, "u", 3, 2),
+        (None, "die andere seite des meeres und das wetter von gestern abend", "de", None, 0, 1.5, "v", 3, 2),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, n_lines int, n_removed int")
+    known = {(r["score"], r["lang_pred"], r["n_lines"], r["n_removed"]) for r in docs.collect()}
+    for stage in (P.language, P.lines, P.near_duplicates, P.mix):
+        out = stage(spark, docs, "").collect()
+        assert out and out[0].__fields__ == docs.columns
+        assert {(r["score"], r["lang_pred"], r["n_lines"], r["n_removed"]) for r in out} <= known
+    kept = P.near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["lang"]) for r in kept) == [(0, "de"), (0, "en"), (1, "de"), (1, "en")]
+    assert {r["lang_pred"] for r in kept} >= {"u", "v"}
