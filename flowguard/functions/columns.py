@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _NORMAL = ("0", "0.0", "normal", "benign", "nan")
 #: The case-sensitive list.
 _NORMAL_EXACT = ("0", "0.0", "Normal", "benign", "nan")
 
 
-def number(c: Column) -> Column:
-    """A finite double, or null: text that isn't a plain number, infinities and NaN give null."""
+def number(c: Column, kind: str = "string") -> Column:
+    """A finite double, or null: text that isn't a plain number, infinities and NaN give null. kind is the column's type,
+    as in DataFrame.dtypes: numbers are cast alone; of text that a cast takes, type suffixes and hexadecimal forms are refused."""
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        return c.cast("double")
+    if kind in ("float", "double"):
+        return finite(c.cast("double"))
     text = c.cast("string")
-    value = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
-    return finite(value)
+    return finite(F.when(~text.rlike("[dDfFxX]"), text.try_cast("double")))
+
+
+def numbers_of(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """number() of those of the columns that a table has, by their types."""
+    kinds = dict(df.dtypes)
+    return {c: number(F.col(c), kinds[c]) for c in columns if c in kinds}
 
 
 def finite(c: Column) -> Column:

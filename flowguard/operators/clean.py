@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import dash_to_null, finite, is_normal, number
+from flowguard.functions.columns import dash_to_null, finite, is_normal, numbers_of
 from flowguard.functions.schema import BOT_NAMES, BOT_STATES, CIC_NAMES, CONTEXT, MAPPED, VOLUME
-from flowguard.operators.profile import missing_share
+from flowguard.operators.profile import missing_share, quantiles
 
 
 def strip_headers(df: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def translate_state(df: DataFrame, column: str = "state", states: dict[str, str]
 
 def coerce(df: DataFrame, columns: list[str]) -> DataFrame:
     """Numbers where there are numbers, else null; absent columns are skipped."""
-    return df.withColumns({c: number(F.col(c)) for c in columns if c in df.columns})
+    return df.withColumns(numbers_of(df, columns))
 
 
 def dash_to_null_all(df: DataFrame) -> DataFrame:
@@ -85,13 +85,13 @@ def log1p_volume(df: DataFrame, columns: list[str] = VOLUME) -> DataFrame:
 
 
 def clip_upper(df: DataFrame, columns: list[str] = VOLUME, q: float = 0.95, exact: bool = True) -> DataFrame:
-    """Cap columns at a quantile. The limits are one broadcast row. exact interpolates but holds all distinct values; the
-    other way is a sketch that gives a value of the column, for tables of any size."""
-    at = (lambda c: F.percentile(c, q)) if exact else (lambda c: F.approx_percentile(c, q, 10_000))
-    limits = df.agg(*[at(F.col(c)).alias(f"_cap_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(limits))
-    capped = {c: F.when(F.col(c) > F.col(f"_cap_{c}"), F.col(f"_cap_{c}")).otherwise(F.col(c)) for c in columns}
-    return out.withColumns(capped).drop(*[f"_cap_{c}" for c in columns])
+    """Cap columns at a quantile. exact interpolates between neighbours (see profile.quantiles); the other way is a sketch
+    that gives a value of the column in one pass."""
+    if exact:
+        limits = quantiles(df, columns, q)
+    else:
+        limits = df.agg(*[F.approx_percentile(F.col(c), q, 10_000).alias(c) for c in columns]).first().asDict()
+    return df.withColumns({c: F.when(F.col(c) > F.lit(limits[c]), F.lit(limits[c])).otherwise(F.col(c)) for c in columns})
 
 
 def label_of(df: DataFrame, column: str, mode: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import number
+from flowguard.functions.columns import numbers_of
 from flowguard.functions.schema import FEATURES, NUMERIC, PROTOCOLS, STATES
 
 
@@ -48,7 +48,8 @@ def assemble(df: DataFrame, columns: list[str] = FEATURES, to: str = "features")
 def flow_features(df: DataFrame, use_categoricals: bool = True) -> dict[str, Column]:
     """The 28 features of a raw flow: numbers (dashes and anything else that isn't one as 0), and 0/1 for known protocols
     (any case) and states (any case). Without categoricals these are 0."""
-    out = {c: F.coalesce(number(F.col(c)), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in NUMERIC}
+    found = numbers_of(df, NUMERIC)
+    out = {c: F.coalesce(found[c], F.lit(0.0)) if c in found else F.lit(0.0) for c in NUMERIC}
     for column, values, fold in (("proto", PROTOCOLS, F.lower), ("conn_state", STATES, F.upper)):
         for v in values:
             known = use_categoricals and column in df.columns

@@ -17,14 +17,14 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.functions.columns import attack_decision, number
+from flowguard.functions.columns import attack_decision, numbers_of
 from flowguard.functions.schema import FEATURES, NUMERIC
 from flowguard.operators import clean, evaluation, features, sampling
 
 
-def steady(df: DataFrame, partitions: int = 8, key: str = "flow_key") -> DataFrame:
-    """The same rows in the same partitions and order each time: forests are reproducible only then."""
-    return df.repartition(partitions, key).sortWithinPartitions(key)
+def steady(df: DataFrame, rows: int = 100_000, least: int = 8, key: str = "flow_key") -> DataFrame:
+    """The same rows in the same partitions, of about so many rows, and order each time: forests are reproducible only then."""
+    return df.repartition(max(least, -(-df.count() // rows)), key).sortWithinPartitions(key)
 
 
 def forest_fit(train: DataFrame, columns: list[str] = FEATURES, label: str = "label", trees: int = 100, depth: int = 15, bins: int = 128, seed: int = 42) -> RandomForestRegressionModel:
@@ -48,6 +48,13 @@ def _vectors(df: DataFrame, columns: list[str], label: str | None = "label") ->
     return out.withColumn("label", F.col(label).cast("double")) if label else out
 
 
+def convolved(df: DataFrame, kernels: list[list[float]], columns: list[str] = FEATURES) -> tuple[DataFrame, list[str]]:
+    """df with the pooled convolutions of its columns, in their order, as columns of their own for the second voter; and their names."""
+    out = features.conv_features(df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in columns])), "_x", kernels, "_conv")
+    names = [f"conv_{i}" for i in range(len(kernels) * ((len(columns) - 2) // 2))]
+    return out.select("*", *[F.element_at("_conv", i + 1).alias(c) for i, c in enumerate(names)]).drop("_x", "_conv"), names
+
+
 def neural_fit(train: DataFrame, columns: list[str] = FEATURES, hidden: int = 64, rounds: int = 100, seed: int = 42, initial=None, solver: str = "l-bfgs", step: float = 0.03, label: str = "label") -> MultilayerPerceptronClassificationModel:
     """train has scaled columns. initial: weights to go on from."""
     mlp = MultilayerPerceptronClassifier(layers=[len(columns), hidden, 2], maxIter=rounds, seed=seed, solver=solver, stepSize=step, blockSize=128, featuresCol="features", labelCol="label")
@@ -109,14 +116,17 @@ def model_name(c: Column) -> Column:
     return F.when(c.isin("ton_iot", "omni"), c).otherwise(F.concat(c, F.lit("_finetuned")))
 
 
-def registry(spark: SparkSession, root: str, trained_at: str = "1970-01-01") -> DataFrame:
-    """(choice, model, path, features, depth, status): where a choice's model lies and what a status board calls it."""
-    choices = [("ton_iot", 28), ("omni", 14), ("bot_iot", 28), ("cic_ids2017", 28)]
-    frame = spark.createDataFrame(choices, "choice string, features int")
+def registry(flows: DataFrame, root: str) -> DataFrame:
+    """(choice, model, path, features, depth, status, rows, attacks): for each domain of flows (domain, label, ...) and for all
+    together, omni, where its model lies, what a status board calls it, and the rows behind it."""
+    counts = flows.rollup("domain").agg(F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("attacks"), F.grouping("domain").alias("all"))
+    names = F.create_map(*[F.lit(x) for pair in (("ton", "ton_iot"), ("bot", "bot_iot"), ("cic", "cic_ids2017")) for x in pair])
+    choice = F.when(F.col("all") == 1, "omni").otherwise(F.coalesce(names[F.col("domain")], F.col("domain")))
+    frame = counts.select(choice.alias("choice"), "rows", "attacks")
     shown = F.when(F.col("choice") == "omni", "OMNI (GLOBAL)").otherwise(F.upper("choice"))
     return frame.select(
-        "choice", model_name(F.col("choice")).alias("model"), F.concat(F.lit(root + "/rf_model_"), model_name(F.col("choice"))).alias("path"), "features",
-        F.lit(15).alias("depth"), F.concat(F.lit("Hybrid Ensemble (RF+NN) - "), shown).alias("status"), F.lit(trained_at).alias("trained_at"),
+        "choice", model_name(F.col("choice")).alias("model"), F.concat(F.lit(root + "/rf_model_"), model_name(F.col("choice"))).alias("path"),
+        F.when(F.col("choice") == "omni", 14).otherwise(28).alias("features"), F.lit(15).alias("depth"), F.concat(F.lit("Hybrid Ensemble (RF+NN) - "), shown).alias("status"), "rows", "attacks",
     )
 
 
@@ -136,7 +146,7 @@ def global_frame(parts: dict[str, DataFrame], mode: str = "lower", cap: int | No
         label = clean.resolve_label(rows)
         rows = clean.label_of(rows.withColumn("_y", label).drop("label", "Label"), "_y", mode)
         rows = clean.ghost_columns(rows, {c: 0 for c in NUMERIC}, overwrite=False)
-        made[domain] = rows.select("flow_key", *[F.coalesce(number(F.col(c)), F.lit(0.0)).alias(c) for c in NUMERIC], *[F.lit(0.0).alias(c) for c in FEATURES[14:]], "label")
+        made[domain] = rows.select("flow_key", *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in numbers_of(rows, NUMERIC).items()], *[F.lit(0.0).alias(c) for c in FEATURES[14:]], "label")
     return clean.union_domains(made)
 
 

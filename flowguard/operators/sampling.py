@@ -26,9 +26,13 @@ def shuffled(df: DataFrame, seed: int = 42, key: str = "flow_key") -> DataFrame:
 
 def pool_caps(df: DataFrame, domain: str, attack: Column, normal_cap: int = 2000, attack_cap: int = 500, seed: int = 42, key: str = "flow_key") -> DataFrame:
     """At most so many normal and attack rows of each domain."""
-    place = F.row_number().over(W.partitionBy(domain, "is_attack").orderBy(key_order(F.col(key), seed), key))
-    ranked = df.withColumn("is_attack", attack).withColumn("_place", place)
-    return ranked.where(F.col("_place") <= F.when(F.col("is_attack") == 1, attack_cap).otherwise(normal_cap)).drop("_place")
+    place = F.row_number().over(W.partitionBy(domain).orderBy(key_order(F.col(key), seed), key))
+    marked, out = df.withColumn("is_attack", attack), None
+    # One limit at a time: Spark then keeps no more rows than that of each domain in a task, before anything is shuffled.
+    for kind, cap in ((F.col("is_attack") == 1, attack_cap), (~F.coalesce(F.col("is_attack") == 1, F.lit(False)), normal_cap)):
+        part = marked.where(kind).withColumn("_place", place).where(F.col("_place") <= cap).drop("_place")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def split_stratified(df: DataFrame, label: str = "label", share: float = 0.2, seed: int = 42, key: str = "flow_key", names: tuple[str, str] = ("test", "train")) -> DataFrame:

@@ -171,7 +171,10 @@ def label_share(v):
     return profile.class_shares(v.flows_raw, "type")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'id', 'string'), (1, 'timestamp', 'timestamp_ntz'), (2, 'source_ip', 'string'), (3, 'target_ip', 'string'), (4, 'dest_ip', 'string'), (5, 'attack_type', 'string'), (6, 'confidence', 'double'), (7, 'status', 'string')) AS t(position, name, kind)")
+_ALERT_KINDS = ["id string", "timestamp timestamp_ntz", "source_ip string", "target_ip string", "dest_ip string", "attack_type string", "confidence double", "status string"]
+
+
+@query(" UNION ALL ".join("SELECT CAST({} AS BIGINT) AS position, '{}' AS name, '{}' AS kind, count({}) AS filled FROM alerts_raw".format(i, *x.split(), x.split()[0]) for i, x in enumerate(_ALERT_KINDS)))
 def dtypes(v):
     return profile.dtypes(v.alerts_raw)
 
@@ -330,7 +333,7 @@ def label_normal_set(v):
 @query("SELECT flow_key, Label AS label FROM flows_cic UNION ALL SELECT flow_key, CAST(label AS VARCHAR) FROM flows_raw WHERE domain = 'ton' UNION ALL SELECT flow_key, 'normal' FROM flows_raw WHERE domain = 'bot'")
 def resolve_label(v):
     parts = [v.flows_cic, v.flows_raw.where("domain = 'ton'"), v.flows_raw.where("domain = 'bot'").drop("label")]
-    out = [p.select("flow_key", (F.col("Label") if i == 0 else clean.resolve_label(p)).alias("label")) for i, p in enumerate(parts)]
+    out = [p.select("flow_key", clean.resolve_label(p).alias("label")) for p in parts]
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
@@ -481,6 +484,8 @@ def inject_attacks(v):
     return sampling.inject_attacks(v.flows_raw.select("flow_key", "type", "label"), 50, "DDoS").drop("label")
 
 
+_KERNELS = [[1.0, 0.0, -1.0], [-1.0, 2.0, -1.0]]
+
 # --- models: few and shallow trees here, the library's defaults are 100 of depth 15
 
 _FOREST = {"trees": 8, "depth": 8, "bins": 64}
@@ -526,18 +531,19 @@ def model_roundtrip(v):
     return before.join(models.forest_proba(test, models.load(path)).select("flow_key", F.col("p_rf").alias("p_loaded")), "flow_key")
 
 
-@query()
+@query("WITH s AS (SELECT *, " + ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS z_{c}" for c in _SCALE) + " FROM flows_raw) SELECT flow_key, " + ", ".join(f"round(z_{c}, 6) AS {c}, round(z_{c}, 6) AS {c}_loaded" for c in _SCALE) + " FROM s")
 def scaler_roundtrip(v):
     rows = v.flows_raw.select("flow_key", *[F.col(c).cast("double").alias(c) for c in _SCALE])
     scaler = features.fit_scaler(rows, _SCALE)
     before, after = (features.apply_scaler(rows, s, _SCALE) for s in (scaler, written(scaler, "scaler")))
-    return before.join(after.toDF("flow_key", *[f"{c}_loaded" for c in _SCALE]), "flow_key")
+    both = before.join(after.toDF("flow_key", *[f"{c}_loaded" for c in _SCALE]), "flow_key")
+    return _rounded(both, [c for c in both.columns if c != "flow_key"])
 
 
 @query()
 def neural_fit(v):
-    train, test = _scaled(*_train_test(v))
-    found = models.measures(models.neural_proba(test, models.neural_fit(train, hidden=16, rounds=25)), "p_nn")
+    (train, columns), (test, _) = (models.convolved(x, _KERNELS) for x in _scaled(*_train_test(v)))
+    found = models.measures(models.neural_proba(test, models.neural_fit(train, columns, hidden=16, rounds=25), columns), "p_nn")
     return v.spark.createDataFrame(sorted(found.items()), "metric string, value double")
 
 
@@ -545,7 +551,7 @@ def neural_fit(v):
 def early_stop(v):
     train, _ = _scaled(*_train_test(v))
     parts = sampling.split_tail(train, ["flow_key"], 0.1)
-    return models.early_stop(parts.where("part = 'fit'"), parts.where("part = 'validation'"), hidden=8, most=4, iterations=4)[1]
+    return models.early_stop(parts.where("part = 'fit'"), parts.where("part = 'validation'"), hidden=8, iterations=4)[1]
 
 
 @query()
@@ -583,12 +589,14 @@ def confidence(v):
     return v.scores_raw.select("flow_key", C.confidence(F.col("p_rf")).alias("confidence"))
 
 
-@query("SELECT choice, CASE WHEN choice IN ('ton_iot', 'omni') THEN choice ELSE choice || '_finetuned' END AS model, features, 'Hybrid Ensemble (RF+NN) - ' || CASE WHEN choice = 'omni' THEN 'OMNI (GLOBAL)' ELSE upper(choice) END AS status FROM (VALUES ('ton_iot', 28), ('omni', 14), ('bot_iot', 28), ('cic_ids2017', 28)) AS t(choice, features)")
+@query("""WITH n AS (SELECT domain, count(*) AS rows, count(*) FILTER (label = 1) AS attacks FROM flows_raw GROUP BY domain UNION ALL SELECT NULL, count(*), count(*) FILTER (label = 1) FROM flows_raw),
+c AS (SELECT CASE domain WHEN 'ton' THEN 'ton_iot' WHEN 'bot' THEN 'bot_iot' WHEN 'cic' THEN 'cic_ids2017' ELSE coalesce(domain, 'omni') END AS choice, rows, attacks FROM n)
+SELECT choice, CASE WHEN choice IN ('ton_iot', 'omni') THEN choice ELSE choice || '_finetuned' END AS model, CASE WHEN choice = 'omni' THEN 14 ELSE 28 END AS features,
+ 'Hybrid Ensemble (RF+NN) - ' || CASE WHEN choice = 'omni' THEN 'OMNI (GLOBAL)' ELSE upper(choice) END AS status, rows, attacks FROM c""")
 def model_registry(v):
-    return models.registry(v.spark, fresh_path(v.spark, "models")).select("choice", "model", "features", "status")
+    return models.registry(v.flows_raw, fresh_path(v.spark, "models")).select("choice", "model", "features", "status", "rows", "attacks")
 
 
-_KERNELS = [[1.0, 0.0, -1.0], [-1.0, 2.0, -1.0]]
 _POOLED = " || ".join(
     f"list_transform(range(1, 32), lambda i: greatest(greatest(0, e[2*i-1]*{a} + e[2*i]*{b} + e[2*i+1]*{c}), greatest(0, e[2*i]*{a} + e[2*i+1]*{b} + e[2*i+2]*{c})))" for a, b, c in ([f"({x})" for x in k] for k in _KERNELS)
 )
@@ -741,9 +749,9 @@ def threat_level(v):
     return explain.threat_level(v.phi_raw)
 
 
-@query(f"""WITH l AS (SELECT flow_key, CASE WHEN score > 0.6 THEN 'High' WHEN score > 0.4 THEN 'Medium' ELSE 'Low' END AS level FROM ({_LEVEL_SQL})),
-r AS (SELECT flow_key, {_NAME_SQL.format('feature')} AS name, row_number() OVER (PARTITION BY flow_key ORDER BY phi DESC, feature) AS i FROM phi_raw)
-SELECT l.flow_key, level, CASE WHEN level = 'High' THEN printf('Severe threat: "%s" and "%s" were highly abnormal.', a.name, b.name) ELSE printf('Traffic looks relatively safe; the leading factor was "%s".', a.name) END AS text FROM l JOIN r a ON a.flow_key = l.flow_key AND a.i = 1 JOIN r b ON b.flow_key = l.flow_key AND b.i = 2""")
+@query(f"""WITH l AS (SELECT flow_key, round(0.15::DOUBLE + sum(phi), 9) AS score, list(feature ORDER BY phi DESC, feature) AS f FROM phi_raw GROUP BY flow_key),
+n AS (SELECT flow_key, CASE WHEN score > 0.6 THEN 'High' WHEN score > 0.4 THEN 'Medium' ELSE 'Low' END AS level, {_NAME_SQL.format('f[1]')} AS a, {_NAME_SQL.format('f[2]')} AS b FROM l)
+SELECT flow_key, level, CASE WHEN level = 'High' THEN printf('Severe threat: "%s" and "%s" were highly abnormal.', a, b) ELSE printf('Traffic looks relatively safe; the leading factor was "%s".', a) END AS text FROM n""")
 def summary_text(v):
     return explain.summary_text(v.phi_raw)
 
@@ -770,18 +778,28 @@ def alert_build(v):
     return alerts.build_alerts(_scored(v))
 
 
-@query()
-def score_stream(v):
+def voters(v):
+    """What scores a flow as it arrives: both voters, fitted in batch, and their mean."""
     train, _ = _train_test(v)
-    model = models.forest_fit(train, trees=5, depth=6, bins=32)
-    folder = fresh_path(v.spark, "feed")
-    v.flows_raw.drop("label").write.parquet(folder)
+    columns = [f"_{c}" for c in S.FEATURES]
+    train = train.withColumnsRenamed(dict(zip(S.FEATURES, columns)))
+    forest = models.forest_fit(train, columns, trees=5, depth=6, bins=32)
+    scaler = written(features.fit_scaler(train, columns), "scaler")
+    net = models.neural_fit(features.apply_scaler(train, scaler, columns), columns, hidden=8, rounds=10)
 
     def score(df):
-        out = models.forest_proba(df.withColumns({f"_{c}": x for c, x in features.flow_features(df).items()}), model, [f"_{c}" for c in S.FEATURES])
-        return out.withColumn("prediction", C.attack_decision(F.col("p_rf"), 0.5, False)).withColumn("confidence", C.confidence(F.col("p_rf")))
+        out = models.forest_proba(df.withColumns({f"_{c}": x for c, x in features.flow_features(df).items()}), forest, columns)
+        out = models.soft_vote(models.neural_proba(features.apply_scaler(out, scaler, columns), net, columns))
+        return out.withColumn("confidence", C.confidence(F.col("score")))
+
+    return score
+
 
-    return feeds.drained(feeds.score_stream(feeds.folder_feed(v.spark, folder), score), name="scores")
+@query()
+def score_stream(v):
+    folder = fresh_path(v.spark, "feed")
+    v.flows_raw.drop("label").write.parquet(folder)
+    return feeds.drained(feeds.score_stream(feeds.folder_feed(v.spark, folder), voters(v)), name="scores")
 
 
 _WORDS = "SELECT flow_key, domain, CASE src_port % 6 WHEN 0 THEN 'BENIGN' WHEN 1 THEN '1' WHEN 2 THEN 'nan' WHEN 3 THEN NULL WHEN 4 THEN '1.0' ELSE type END AS type FROM flows_raw"

@@ -221,3 +221,84 @@ def test_streams_run(spark, sf_dir):
 def test_newest_breaks_ties_by_id(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 0)], "id string, timestamp int")
     assert [r["id"] for r in alerts.newest(df, 2).collect()] == ["b", "a"]
+
+
+def test_numbers_by_kind(spark):
+    df = spark.createDataFrame([("0x1p3", 3, 2.5, math.inf), ("\t7 ", None, math.nan, 1.0), ("1f", 4, None, -0.0)], "s string, i int, d double, e double")
+    got = df.select(*[x.alias(c) for c, x in C.numbers_of(df, ["s", "i", "d", "e", "absent"]).items()]).collect()
+    assert [tuple(r) for r in got] == [(None, 3.0, 2.5, None), (7.0, None, None, 1.0), (None, 4.0, None, -0.0)]
+
+
+def test_quantiles_equal_numpy(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(profile, "FEW", 20)
+    monkeypatch.setattr(profile, "PARTS", 8)
+    rng = np.random.default_rng(3)
+    a, b, c = rng.lognormal(0, 3, 3000), rng.integers(0, 4, 3000).astype(float), np.r_[np.zeros(2900), rng.normal(0, 1e9, 100)]
+    df = spark.createDataFrame([(*map(float, t), None, math.nan) for t in zip(a, b, c)], "a double, b double, c double, none double, nan double")
+    for q in (0.0, 0.1, 0.5, 0.95, 0.9667, 1.0):
+        got = profile.quantiles(df, ["a", "b", "c", "none", "nan"], q)
+        for name, x in (("a", a), ("b", b), ("c", c)):
+            assert got[name] == pytest.approx(np.quantile(x, q), rel=1e-9, abs=1e-9)
+        assert got["none"] is None and got["nan"] is None
+    assert profile.quantiles(df.limit(0), ["a"], 0.5) == {"a": None}
+
+
+def test_a_busy_source_is_split(spark):
+    """Streaks and gaps of one source that lies in many ranges, against a loop over its rows."""
+    rng = random.Random(9)
+    rows = [(f"k{i:05d}", "s" if i % 50 else "t", rng.randrange(5), rng.choice(["REJ", "S0", "SF"]), 1_700_000_000 + rng.randrange(2000), float(rng.randrange(100))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "flow_key string, src_ip string, dst_port int, conn_state string, at long, src_bytes double")
+    df = df.withColumn("dst_bytes", F.lit(0.0)).withColumn("ts", F.timestamp_seconds("at")).repartition(16)
+    streaks, gaps = [], {}
+    for source in ("s", "t"):
+        run, last = [], None
+        mine = sorted((r for r in rows if r[1] == source), key=lambda r: (r[4], r[0]))
+        for r in [*mine, (None, source, 0, "SF", 0, 0.0)]:
+            if r[3] == "REJ":
+                run.append(r)
+                continue
+            if len(run) >= 3 and len({x[2] for x in run}) >= 2:
+                streaks.append((source, len(run), len({x[2] for x in run})))
+            run = []
+        times = [r[4] for r in mine if r[3] == "S0"]
+        between = [y - x for x, y in zip(times, times[1:])]
+        gaps[source] = (len(times), sum(between) / len(between))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    got = detectors.detect_scan(df)
+    assert sorted((r["src_ip"], r["tries"], r["ports"]) for r in got.collect()) == sorted(streaks)
+    found = {r["src_ip"]: (r["tries"], r["avg_gap"]) for r in detectors.detect_beacon(df, most_variation=100.0, least_spike=0.0).collect()}
+    assert {k: (n, pytest.approx(m)) for k, (n, m) in gaps.items()} == found
+    assert detectors._in_ranges(df).where("src_ip = 's'").select("part").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scoring_stream_equals_batch(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    score, folder = catalog.voters(v), fresh_path(spark, "feed")
+    flows = v.flows_raw.drop("label")
+    flows.write.parquet(folder)
+    got = feeds.drained(feeds.score_stream(feeds.folder_feed(spark, folder), score), name="scores")
+    want = alerts.build_alerts(score(flows))
+    assert got.count() == want.count() > 0 and got.select("id", "confidence", "attack_type").exceptAll(want.select("id", "confidence", "attack_type")).count() == 0
+
+
+def test_model_queries_hold_their_invariants(spark, sf_dir):
+    both = catalog.QUERIES["neural_predict"](spark, sf_dir)
+    assert both.where("p_nn < 0 or p_nn > 1 or strict > inclusive or inclusive <> cast(p_nn >= 0.5 as int)").count() == 0
+    for name, models_of in (("neural_finetune", {"base", "tuned"}), ("transfer_eval", {"zero_shot", "refit"})):
+        rows = catalog.QUERIES[name](spark, sf_dir).collect()
+        assert {r["model"] if "model" in r else r["regime"] for r in rows} == models_of and all(0 <= r["value"] <= 1 for r in rows)
+    assert {r["metric"] for r in catalog.QUERIES["global_model"](spark, sf_dir).collect()} == {"accuracy", "auc"}
+    assert catalog.QUERIES["throughput"](spark, sf_dir).where("rows > 0 and seconds > 0").count() == 1
+    loaded = catalog.QUERIES["model_roundtrip"](spark, sf_dir)
+    assert loaded.count() > 0 and loaded.where("p_rf <> p_loaded").count() == 0
+
+
+def test_beacon_stream_gathers_gaps(spark):
+    folder = fresh_path(spark, "beacon")
+    rows = spark.createDataFrame([("a", "S0", 1_700_000_000 + 60 * i) for i in range(6)] + [("a", "SF", 1_700_000_001), ("b", "S0", 1_700_000_000)], "src_ip string, conn_state string, at long")
+    rows.select("src_ip", "conn_state", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.parquet(folder)
+    got = feeds.drained(feeds.beacon(feeds.folder_feed(spark, folder)), "update", "beacon").collect()
+    assert [(r["src_ip"], r["gaps"], r["avg_gap"], r["variation"]) for r in got] == [("a", 5, 60.0, 0.0)]
