@@ -456,10 +456,9 @@ def _hash_fraction(key: str, seed: int) -> str:
 
 
 @query(f"""
-WITH pool AS (SELECT flow_key, duration::DOUBLE AS duration, src_pkts::DOUBLE AS src_pkts, dst_pkts::DOUBLE AS dst_pkts FROM flows_raw WHERE label = 1 ORDER BY {_ORDER} LIMIT 500),
-rest AS (SELECT flow_key FROM flows_raw WHERE label = 0 ORDER BY {_ORDER} LIMIT 1500),
-d AS (SELECT a.flow_key, b.flow_key AS other, (a.duration - b.duration) * (a.duration - b.duration) + (a.src_pkts - b.src_pkts) * (a.src_pkts - b.src_pkts) + (a.dst_pkts - b.dst_pkts) * (a.dst_pkts - b.dst_pkts) AS d FROM pool a JOIN pool b ON a.flow_key <> b.flow_key),
-near AS (SELECT * FROM (SELECT flow_key, other, row_number() OVER (PARTITION BY flow_key ORDER BY d, other) AS place FROM d) WHERE place <= 5),
+WITH pool AS (SELECT flow_key, duration::DOUBLE AS duration, src_pkts::DOUBLE AS src_pkts, dst_pkts::DOUBLE AS dst_pkts FROM flows_raw WHERE label = 1),
+rest AS (SELECT flow_key FROM flows_raw WHERE label = 0),
+near AS (SELECT flow_key, unnest(n).o AS other, generate_subscripts(n, 1) AS place FROM (SELECT a.flow_key, min({{'d': (a.duration - b.duration) * (a.duration - b.duration) + (a.src_pkts - b.src_pkts) * (a.src_pkts - b.src_pkts) + (a.dst_pkts - b.dst_pkts) * (a.dst_pkts - b.dst_pkts), 'o': b.flow_key}}, 5) AS n FROM pool a JOIN pool b ON a.flow_key <> b.flow_key GROUP BY a.flow_key)),
 ranked AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS i, (SELECT count(*) FROM rest) - (SELECT count(*) FROM pool) AS need, (SELECT count(*) FROM pool) AS m FROM pool),
 made AS (SELECT *, unnest(range(1, 1 + need // m + CASE WHEN i <= need % m THEN 1 ELSE 0 END)) AS r FROM ranked),
 keyed AS (SELECT *, flow_key || '~' || r AS k FROM made),
@@ -468,8 +467,7 @@ SELECT k AS flow_key, round(p.duration + u * (e.duration - p.duration), 6) AS du
 FROM picked p JOIN near n ON n.flow_key = p.flow_key AND n.place = p.place JOIN pool e ON e.flow_key = n.other""")
 def smote(v):
     rows = v.flows_raw.select("flow_key", *[F.col(c).cast("double").alias(c) for c in _SMOTE], "label")
-    pool = sampling.sample_n(rows.where("label = 1"), 500).unionAll(sampling.sample_n(rows.where("label = 0"), 1500))
-    return _rounded(sampling.smote(written(pool, "pool"), _SMOTE), _SMOTE)
+    return _rounded(sampling.smote(written(rows, "pool"), _SMOTE), _SMOTE)
 
 
 @query()

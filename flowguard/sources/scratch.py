@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this process where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="flowguard-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """spark.checkpoint.dir of the session, or its warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for a table or model that goes when the program ends."""
+    path = f"{shared_dir(spark)}/flowguard-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def release() -> None:
+    """Delete what lies at fresh paths."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session has ended: its folder goes with the cluster
+            continue
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
