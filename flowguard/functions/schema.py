@@ -18,6 +18,7 @@ MAPPED = [
     "dns_qclass", "dns_qtype", "dns_rcode", "label",
 ]
 VOLUME = ["src_bytes", "dst_bytes", "src_ip_bytes", "dst_ip_bytes", "duration"]
+#: The names of two dialects, and what a dialect's states are called.
 BOT_NAMES = {
     "sbytes": "src_bytes", "dbytes": "dst_bytes", "spkts": "src_pkts", "dpkts": "dst_pkts", "dur": "duration",
     "TnBPSrcIP": "src_ip_bytes", "TnBPDstIP": "dst_ip_bytes", "state": "conn_state", "attack": "label",
@@ -27,6 +28,7 @@ CIC_NAMES = {
     "total backward packets": "dst_pkts", "flow duration": "duration",
 }
 BOT_STATES = {"CON": "SF", "RST": "RSTR", "REQ": "S0", "INT": "OTH", "FIN": "SF", "URP": "OTH"}
+#: The display names of features.
 FEATURE_NAMES = {
     "src_bytes": "Data sent (Source Bytes)", "dst_pkts": "Packets received (Destination)", "duration": "Connection Time (Duration)",
     "src_ip_bytes": "Total Source IP Data", "dst_ip_bytes": "Total Destination IP Data", "conn_state_SF": "Normal Connection Finished",
