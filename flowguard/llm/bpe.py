@@ -41,8 +41,9 @@ NEW_LOWER = [
     (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
     (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
 ]
-#: Distinct pieces of text whose tokens a task keeps at hand; beyond it the memory starts afresh.
-MOST_KNOWN = 600_000
+#: Distinct pieces of text whose tokens a task keeps at hand; beyond it the memory starts afresh. Pieces of more than
+#: MOST_LETTERS characters, as texts without blanks are, are encoded each time, so what is kept is bounded in bytes too.
+MOST_KNOWN, MOST_LETTERS = 500_000, 64
 _ROOT = 0
 #: Stands for the end of a word in the texts of tokens.
 END = "\ue000"
@@ -158,8 +159,9 @@ class Automaton:
     def word(self, text: str) -> list[int]:
         """Tokens of a word: one character for each symbol, the word's end as END. Every symbol is a token, at the end too.
 
-        The longest tokens are tried first, and a token is taken back if no accepted sequence goes on from its end. Only
-        one sequence is accepted, so the first that reaches the word's end is the result.
+        States and arcs are the automaton's, found by table; which arc to follow isn't known from the next symbol alone.
+        The longest tokens are tried first, and a token is taken back if no accepted sequence goes on from its end, each
+        place once at most. Only one sequence is accepted, so the first that reaches the word's end is the result.
         """
         n, out, at, state = len(text), [], 0, _ROOT
         states, places, dead = [], [], set()
@@ -206,7 +208,9 @@ class Encoder:
         if found is None:
             a = self.automaton
             text = "".join([a.symbols[b] for b in word.encode("utf-8", "surrogatepass")]) + (END if a.suffix else "")
-            found = self.by_word[word] = a.word(text)
+            found = a.word(text)
+            if len(word) <= MOST_LETTERS:
+                self.by_word[word] = found
         return found
 
     def _plain(self, text: str) -> list[int]:
@@ -241,7 +245,9 @@ class Encoder:
                     known.clear()
                     self.by_word.clear()
                     self.automaton.arcs.clear()
-                found = known[piece] = self._piece(piece)
+                found = self._piece(piece)
+                if len(piece) <= MOST_LETTERS:
+                    known[piece] = found
             out.append(found)
         return b"".join(out)
 
@@ -256,7 +262,12 @@ _encoders: dict[int, Encoder] = {}
 
 
 def encode(frame: DataFrame, spec_json: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """frame with a column of token ids. A null text has no tokens; other columns stay as they are."""
+    """frame with a column of token ids.
+
+    Texts are encoded whole, however long, some megabytes of them at a time. A null or empty text has no tokens. Rows are
+    encoded each by itself, so repeated ones get equal ids. Other columns stay as they are; one named like the new one is
+    replaced by it. An empty table gives none.
+    """
     spec = frame.sparkSession.sparkContext.broadcast(spec_json)
     kept = [c for c in frame.columns if c != ids]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*[f"`{c}`" for c in kept]).schema)
@@ -276,7 +287,11 @@ def encode(frame: DataFrame, spec_json: str, text: str = "text", ids: str = "tok
 
 
 def decode(frame: DataFrame, spec_json: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """frame with the labels of its token ids, joined by blanks. Null and empty ids give the empty text."""
+    """frame with the labels of its token ids, joined by blanks.
+
+    Null and empty ids give the empty text; lists may be of any length, repeated rows give equal texts. Other columns stay
+    as they are; one named like the new one is replaced by it. An empty table gives none.
+    """
     spec = frame.sparkSession.sparkContext.broadcast(spec_json)
     kept = [c for c in frame.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*[f"`{c}`" for c in kept]).schema)

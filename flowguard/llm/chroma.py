@@ -240,7 +240,7 @@ def search_clips(vectors: DataFrame) -> DataFrame:
     the most votes is given, then the fewest bit errors, the smallest offset and the earliest start.
     Recordings with equal fingerprints are one class, named match_id by its smallest vec_id, of n_copies rows. A clip
     with no match, or of a null or short vector, gives one row with nulls, so each row whose id is divisible by 20
-    appears. Repeated rows are one query. Extra columns are not read. An empty table gives none.
+    appears. Repeated rows are one query. A vector of any length is one recording. Extra columns are not read. An empty table gives none.
     """
     sounds = _sounds(vectors)
     classes = materialize(sounds.where("vec_id is not null and size(codes) > 0").groupBy("codes").agg(F.min("vec_id").alias("item"), F.count("*").alias("n_copies")))

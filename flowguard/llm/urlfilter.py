@@ -62,7 +62,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     Of the rules whose patterns are found in host + path the highest tier decides, in it the highest rank, then the rule
     that is last by text. rule names it if it is a site rule (tier 1), else it is null; without any, the verdict is
     `default`. A null url, or one without ://, has an empty host and path. Each row is judged by itself, so repeated rows
-    and page ids, also null, give repeated results. Extra columns are not read. An empty table gives none.
+    and page ids, also null, give repeated results. URLs of any length are judged whole. Extra columns, whatever their names, are not read. An empty table gives none.
     """
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))

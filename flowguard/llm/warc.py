@@ -226,8 +226,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame, least_bytes: int = 0, payloads: bool = False) -> DataFrame:
     """Write a record for every row of pages (page_id, url, html, ...) and read the archives back.
 
-    A null html is an empty payload, a null url gives no target header, line ends in a url are percent-encoded. Equal
-    rows give equal records. Extra columns are not read. An empty table gives none.
+    A null html is an empty payload, a null url gives no target header, line ends in a url are percent-encoded. A payload
+    of any length is one record of one frame. Equal rows give equal records. Extra columns are not read. An empty table gives none.
     """
     pages = pages.select("page_id", "url", "html")
     return read_archives(materialize(write_archives(mark_revisits(pages, least_bytes), train_dictionary(pages))), payloads)
