@@ -152,7 +152,7 @@ def residual_pairs(groups: DataFrame, sets: DataFrame, percent: int, spread: Cal
     a change of the text.
     """
     limit, step, per = 100 - percent, math.log(1.1), 100 + percent
-    held = groups.join(sets, "node").withColumn("s", spread(F.col("s")))
+    held = groups.join(sets, "node").withColumn("s", F.transform(spread(F.col("s")), lambda x: F.xxhash64(x)))
     counts = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("f"))
     of = groups.groupBy("g").agg(F.count("*").alias("k"))
     centre = counts.join(of, "g").where("2 * f > k").groupBy("g").agg(F.collect_list("e").alias("p"))
@@ -211,7 +211,7 @@ def linked_components(
     """
 
     def likely(pairs: DataFrame) -> DataFrame:
-        if sketches is not None:
+        if alike is not None:
             for x in ("a", "b"):
                 pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"of_{x}")), x)
             pairs = pairs.where(alike(F.col("of_a"), F.col("of_b")))
@@ -221,6 +221,8 @@ def linked_components(
         return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
     live = _live(members)
+    if sketches is not None:
+        sketches = materialize(sketches.join(live.select("node").distinct(), "node", "left_semi"))
     heads = likely(live.select("node", F.explode(F.array("lo", "mid")).alias("x")).where("node != x").select(*_pair("node", "x")).distinct())
     nodes = materialize(nodes_of(heads).distinct())
     sets = materialize(sets_of(nodes))
@@ -251,5 +253,5 @@ def linked_components(
                 found = _merged(found, links)
             discard(links)
         discard(groups)
-    discard(live, split, sets)
+    discard(live, split, sets, sketches)
     return found

@@ -44,3 +44,70 @@ def test_stages_keep_clashing_columns_and_judge_rows_that_share_an_id(spark):
     kept = P.near_duplicates(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["lang"]) for r in kept) == [(0, "de"), (0, "en"), (1, "de"), (1, "en")]
     assert {r["lang_pred"] for r in kept} >= {"u", "v"}
+
+
+def lines_left(rows, chars=7, percent=80):
+    """(row, text left) by comparing every pair of lines; a short line is one shingle as a whole. rows in order of (doc_id, text)."""
+    import re
+
+    from test_near_duplicates import union_find
+
+    places = []
+    for n, text in enumerate(rows):
+        for at, line in enumerate(text.split("\n")):
+            shape = re.sub(r"\s+", " ", line).strip().lower()
+            if shape:
+                places.append((n, at, {shape[i : i + chars] for i in range(max(1, len(shape) - chars + 1))}))
+    links = [(x, y) for x in range(len(places)) for y in range(x) if len(places[x][2] & places[y][2]) * 100 >= percent * len(places[x][2] | places[y][2])]
+    first = union_find(range(len(places)), links)
+    gone = {places[x][:2] for x, c in first.items() if x != c}
+    return ["\n".join(line for at, line in enumerate(t.split("\n")) if (n, at) not in gone) for n, t in enumerate(rows)]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    import random
+
+    import tokenizers
+    from test_near_duplicates import shingles, union_find
+
+    from flowguard.llm import mixing, queries
+
+    rng = random.Random(31)
+    english = "the of and to in that was his with had which from their there would about other these could some".split()
+    german = "der die und das nicht ein ist auch sich mit auf für dem wird eine noch nach über wenn durch".split()
+
+    def line(words):
+        return " ".join(rng.choice(words) + rng.choice(["", "s", "en", "er"]) for _ in range(rng.randint(3, 14)))
+
+    common, rows = [line(english) for _ in range(4)] + ["ok."], []
+    for i in range(70):
+        words, lang = (english, "en") if i % 2 else (german, "de")
+        parts = [line(words) for _ in range(rng.randint(1, 6))]
+        if i % 3 == 0:
+            parts.insert(1, rng.choice(common) + rng.choice(["", "!"]))
+        rows.append((i, "\n".join(parts), lang, rng.choice("abc"), 0))
+    rows += [(100 + i, "\n".join(x + " " + line(english) for x in rows[i][1].split("\n")[:1]) + " " + rows[i][1].replace("\n", " "), rows[i][2], "a", 0) for i in range(0, 20)]
+    rows += [(200, "12 34", "en", "a", 0), (201, None, "en", "b", 0), (202, "  ", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+
+    kept = {r["doc_id"] for r in P.language(spark, docs, str(tmp_path)).collect()}
+    assert {200, 201, 202}.isdisjoint(kept) and len(kept) >= 85
+    rows = [r for r in rows if r[0] in kept]
+    left = [(r[0], t, r[3]) for r, t in zip(rows, lines_left([r[1] for r in rows])) if t.strip() or t == r[1]]
+    sets = [shingles(t, 5) for _, t, _ in left]
+    links = [(x, y) for x in range(len(left)) for y in range(x) if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    first = union_find(range(len(left)), links)
+    left = [r for i, r in enumerate(left) if first[i] == i]
+    frame = spark.createDataFrame(left, "doc_id long, text string, source string")
+    taken = mixing.mix_sources(frame.select(P._key().alias("doc_id"), "text", "source")).select("doc_id.doc_id", "size", "taken").collect()
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in taken}
+    library = tokenizers.Tokenizer.from_file(queries.default_tokenizer())
+    library.no_padding()
+    library.no_truncation()
+    want = []
+    for i, text, source in left:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want += [(i, source, len(ids), ids, library.decode(ids, skip_special_tokens=False))] * times[i]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["source"], r["n_tokens"], r["token_ids"], r["decoded"])) for r in got)

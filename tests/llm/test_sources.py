@@ -1,5 +1,6 @@
 """URL rules, archives, mixing and audio."""
 
+import re
 import math
 
 import duckdb
@@ -207,3 +208,29 @@ def test_clips_off_the_grid_are_found(spark):
     every = set(every) | set(_aligned_by_brute_force(*[[(r["vec_id"], (r[c][0] if c == "clip" else r[c])) for r in rows if r["vec_id"] % 20 == 0] for c in ("clip", "codes")], False))
     rough = {p for p in every if p[0] // 20 % 4 == 3}
     assert rough and len(every & found) >= 0.95 * len(every) and rough <= found
+
+
+def test_thousands_of_url_rules_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    labels = [f"{a}{b}" for a in ("shop", "news", "mail", "cdn", "img") for b in range(60)]
+    tops = ["com", "net", "org", "example.com"]
+    hosts = [f"{rng.choice(labels)}.{rng.choice(tops)}" for _ in range(1200)]
+    rules = sorted({(rng.choice(["allow", "block"]), h + "/" + rng.choice(["", "", "en/", "de/x", "a-b/"])) for h in hosts + tops for _ in range(3)}, key=lambda x: x[1])
+    rules = [r for i, r in enumerate(rules) if not i or rules[i - 1][1] != r[1]]
+    assert len(rules) > 2000
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'www.', 'A.b.'])}{rng.choice(hosts)}/{rng.choice(['', 'en/', 'en', 'de/xyz', 'a-b/1', 'q?en/'])}" for _ in range(500)] + ["no url", None, "://com/", "ftp://x.com"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages, urlfilter.rule_frame(spark, urlfilter.site_rules(rules))).collect()}
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        host = host.lower()
+        best = None
+        for verdict, rule in rules:
+            of, slash, start = rule.partition("/")
+            if (host == of or host.endswith("." + of)) and path.startswith(slash + start) and (best is None or (len(rule), rule) > best[0]):
+                best = (len(rule), rule), (rule, verdict)
+        assert got[i] == (best[1] if best else (None, "allow")), url
