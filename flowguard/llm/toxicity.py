@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on the windows of toxic texts, one on those of ordinary texts. A text is
-scored by its windows: how many bytes fewer does a window take with the toxic dictionary than with the ordinary one? From
+Two zstandard dictionaries are trained, one on the windows of ordinary texts, one on those of toxic texts that the first
+one hardly shortens. A text is scored by its windows: how many bytes fewer does a window take with the toxic dictionary than with the ordinary one? From
 which saving a window counts as a hit is calibrated on labelled texts that trained neither dictionary, and so is the score.
 A window is a word with its blanks, part of one if that is long, spelled as one four-byte code for each three characters,
 so that a compressor, which cannot shorten a few plain letters, saves several bytes on a known word.
@@ -26,7 +26,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Codes in a window, and how far the next window of a long word starts.
 WINDOW, STEP = 32, 16
 LEVEL = 3
-TOXIC_BYTES, ORDINARY_BYTES = 8 << 10, 256 << 10
+TOXIC_BYTES, ORDINARY_BYTES = 64 << 10, 1 << 20
+#: A toxic text's window trains the toxic dictionary if the ordinary one leaves at least so much of it, besides the frame.
+LEFT, FRAME = 0.5, 9
 #: Savings, in bytes, of which one is chosen as the limit from which a window counts as a hit.
 LIMITS = tuple(range(4, 25))
 #: So many words' savings are kept in a task, longer ones than MOST_LETTERS are measured each time.
@@ -131,15 +133,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
-    """Two thirds of the texts train the dictionaries, each on every window of its kind of text, once a text; the rest
-    chooses the limit of a hit, by likelihood, and the weights. None without texts of both kinds."""
+    """Two thirds of the texts train the dictionaries, each on the windows of its kind of text, once a text: the ordinary one
+    on all, the toxic one on all of which the ordinary one leaves LEFT or more. The rest chooses the limit of a hit, by
+    likelihood, and the weights. None without texts of both kinds."""
     learn, check = [i for i in range(len(texts)) if i % 3], [i for i in range(len(texts)) if i % 3 == 0]
     windows: list[list[bytes]] = [[], []]
     for i in learn:
         windows[int(toxic[i])] += [s for w in sorted(_words(texts[i])) for s in _windows(w)]
     if not windows[0] or not windows[1]:
         return None
-    toxic_dict, ordinary_dict = _dictionary(windows[1], TOXIC_BYTES), _dictionary(windows[0], ORDINARY_BYTES)
+    ordinary_dict = _dictionary(windows[0], ORDINARY_BYTES)
+    packer = _Meter(b"", ordinary_dict).sizes[0]
+    strange = {w for w in set(windows[1]) if len(packer.compress(w)) - FRAME >= LEFT * len(w)}
+    toxic_dict = _dictionary([w for w in windows[1] if w in strange], TOXIC_BYTES)
     meter = _Meter(toxic_dict, ordinary_dict)
     y = np.array([float(toxic[i]) for i in check])
     if not len(y) or y.min() == y.max():
