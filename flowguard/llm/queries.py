@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, fingerprints, langid, linedup, minhash, mixing, resampling, toxicity, urlfilter, warc
+from . import bpe, chroma, fingerprints, langid, linedup, maintext, minhash, mixing, periodic, resampling, toxicity, urlfilter, warc
 
 
 TOXIC_FROM = 0.7
@@ -85,6 +85,40 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def _with_tails(doc_id: Column, text: Column) -> Column:
+    """The text; for every tenth id by hash, with its words from a drawn place on made to repeat those that stand there."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        head, tail = F.slice(words, F.lit(1), a.cast("int")), F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        again = F.slice(F.flatten(F.array_repeat(tail, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(head, again), " "))
+
+    made = F.element_at(F.transform(F.array(periodic.words_of(text)), repeated), 1)  # so that the words are made once
+    return F.when(h % 10 == 0, F.coalesce(made, text)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.detect_runs(documents.withColumn("text", _with_tails(F.col("doc_id"), F.col("text"))))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    every = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    found = found.withColumn("best", best)
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_language, op3_url_rules, op4_toxicity, op5_warc, op6_mix, op7_bpe, op8_chroma, op9_minhash, op10_line_dedup, op11_resample, pipeline)
+    every = (op1_simhash, op2_language, op3_url_rules, op4_toxicity, op5_warc, op6_mix, op7_bpe, op8_chroma, op9_minhash, op10_line_dedup, op11_resample, op12_main_text, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in every}
 
 
