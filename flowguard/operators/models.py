@@ -1,8 +1,7 @@
 """Two voters over flow features, their fusion and their adaptation to other domains.
 
 The forest regresses on the 0/1 label: for two classes its variance split is the Gini split, and a mean leaf is P(attack).
-The second voter is a multilayer perceptron over convolution features or the raw ones; it is not a convolutional network,
-whose channel-wise kernels would be trained too.
+The second voter is a convolutional network over the features in their order (`networks`).
 """
 
 from __future__ import annotations
@@ -11,26 +10,34 @@ import time
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.functions.columns import attack_decision, numbers_of
 from flowguard.functions.schema import FEATURES, NUMERIC
-from flowguard.operators import clean, evaluation, features, sampling
+from flowguard.operators import clean, evaluation, features, networks, sampling
+from flowguard.sources.scratch import written
 
 
-def steady(df: DataFrame, rows: int = 100_000, least: int = 8, key: str = "flow_key") -> DataFrame:
+def steady(df: DataFrame, keys: list[str], rows: int = 100_000, least: int = 8) -> DataFrame:
     """The same rows in the same partitions, of about so many rows, and order each time: forests are reproducible only then."""
-    return df.repartition(max(least, -(-df.count() // rows)), key).sortWithinPartitions(key)
+    return df.repartition(max(least, -(-df.count() // rows)), *keys).sortWithinPartitions(*keys)
 
 
-def forest_fit(train: DataFrame, columns: list[str] = FEATURES, label: str = "label", trees: int = 100, depth: int = 15, bins: int = 128, seed: int = 42) -> RandomForestRegressionModel:
-    """train has numeric columns and a 0/1 label. Depth is at most 30."""
-    rows = features.assemble(steady(train), columns).select("features", F.col(label).cast("double").alias("label"))
-    return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=bins, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+def collapsed(train: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    """(columns..., label, weight): equal rows as one with their number. Equal rows fall into the same leaves, so a tree grown
+    on all of them has the same splits; where trees draw their rows, they draw distinct ones."""
+    return train.groupBy(*columns, label).agg(F.count("*").cast("double").alias("weight"))
+
+
+def forest_fit(train: DataFrame, columns: list[str] = FEATURES, label: str = "label", trees: int = 100, depth: int = 15, bins: int = 128, seed: int = 42, collapse: bool = True) -> RandomForestRegressionModel:
+    """train has numeric columns and a 0/1 label. Depth is at most 30. collapse: grow on distinct rows with weights."""
+    rows = collapsed(train, columns, label) if collapse else train.select(*columns, label, F.lit(1.0).alias("weight"))
+    rows = written(steady(written(rows, "distinct"), [*columns, label]), "steady")
+    rows = features.assemble(rows, columns).select("features", F.col(label).cast("double").alias("label"), "weight")
+    forest = RandomForestRegressor(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, maxBins=bins, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024)
+    return forest.fit(rows)
 
 
 def forest_proba(df: DataFrame, model: RandomForestRegressionModel, columns: list[str] = FEATURES, to: str = "p_rf") -> DataFrame:
@@ -43,29 +50,14 @@ def forest_predict(df: DataFrame, model: RandomForestRegressionModel, columns: l
     return forest_proba(df, model, columns).withColumn("prediction", attack_decision(F.col("p_rf"), 0.5, inclusive=False))
 
 
-def _vectors(df: DataFrame, columns: list[str], label: str | None = "label") -> DataFrame:
-    out = features.assemble(df, columns)
-    return out.withColumn("label", F.col(label).cast("double")) if label else out
-
-
-def convolved(df: DataFrame, kernels: list[list[float]], columns: list[str] = FEATURES) -> tuple[DataFrame, list[str]]:
-    """df with the pooled convolutions of its columns, in their order, as columns of their own for the second voter; and their names."""
-    out = features.conv_features(df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in columns])), "_x", kernels, "_conv")
-    names = [f"conv_{i}" for i in range(len(kernels) * ((len(columns) - 2) // 2))]
-    return out.select("*", *[F.element_at("_conv", i + 1).alias(c) for i, c in enumerate(names)]).drop("_x", "_conv"), names
+def neural_fit(train: DataFrame, columns: list[str] = FEATURES, hidden: int = 128, rounds: int = 20, kernels: tuple[int, int] = (64, 128), seed: int = 42, initial: networks.Network | None = None, step: float = 3e-3, label: str = "label") -> networks.Network:
+    """train has scaled columns. initial: a network to go on from."""
+    return networks.train(train, columns, label=label, start=initial, kernels=kernels, hidden=hidden, epochs=rounds, rate=step, seed=seed)[0]
 
 
-def neural_fit(train: DataFrame, columns: list[str] = FEATURES, hidden: int = 64, rounds: int = 100, seed: int = 42, initial=None, solver: str = "l-bfgs", step: float = 0.03, label: str = "label") -> MultilayerPerceptronClassificationModel:
-    """train has scaled columns. initial: weights to go on from."""
-    mlp = MultilayerPerceptronClassifier(layers=[len(columns), hidden, 2], maxIter=rounds, seed=seed, solver=solver, stepSize=step, blockSize=128, featuresCol="features", labelCol="label")
-    if initial is not None:
-        mlp = mlp.setInitialWeights(initial)
-    return mlp.fit(_vectors(steady(train), columns, label).select("features", "label"))
-
-
-def neural_proba(df: DataFrame, model: MultilayerPerceptronClassificationModel, columns: list[str] = FEATURES, to: str = "p_nn") -> DataFrame:
-    out = model.transform(features.assemble(df, columns))
-    return out.withColumn(to, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+def neural_proba(df: DataFrame, model: networks.Network, columns: list[str] = FEATURES, to: str = "p_nn") -> DataFrame:
+    """P(attack) by the second voter, between 0 and 1."""
+    return networks.proba(df, model, columns, to)
 
 
 def log_loss(df: DataFrame, p: str = "p_nn", label: str = "label") -> float:
@@ -73,31 +65,18 @@ def log_loss(df: DataFrame, p: str = "p_nn", label: str = "label") -> float:
     return df.agg(F.avg(-F.when(F.col(label) == 1, F.log(safe)).otherwise(F.log(1 - safe)))).first()[0]
 
 
-def early_stop(train: DataFrame, validation: DataFrame, columns: list[str] = FEATURES, hidden: int = 64, most: int = 20, patience: int = 3, iterations: int = 5, seed: int = 42, initial=None, solver: str = "l-bfgs", step: float = 0.03):
-    """(best model, trace): short fits, each from the weights of the one before, until validation loss hasn't fallen for
-    `patience` rounds. trace: (round, loss, best). The optimizer's history starts anew each round."""
-    train, validation = train.persist(), validation.persist()
-    best, best_loss, trace, weights, idle = None, float("inf"), [], initial, 0
-    for i in range(1, most + 1):
-        model = neural_fit(train, columns, hidden, iterations, seed, weights, solver, step)
-        weights = model.weights
-        loss = log_loss(neural_proba(validation, model, columns))
-        trace.append((i, loss))
-        if loss < best_loss - 1e-6:
-            best, best_loss, idle = model, loss, 0
-        else:
-            idle += 1
-        if idle >= patience:
-            break
-    frame = train.sparkSession.createDataFrame([(i, loss, loss == best_loss) for i, loss in trace], "round int, loss double, best boolean")
-    train.unpersist()
-    validation.unpersist()
-    return best, frame
-
-
-def neural_finetune(base: MultilayerPerceptronClassificationModel, study: DataFrame, columns: list[str] = FEATURES, hidden: int = 64, rounds: int = 20, step: float = 1e-4) -> MultilayerPerceptronClassificationModel:
-    """Go on from the base model's weights by small gradient steps on the new domain's study part."""
-    return neural_fit(study, columns, hidden, rounds, initial=base.weights, solver="gd", step=step)
+def early_stop(train: DataFrame, validation: DataFrame, columns: list[str] = FEATURES, hidden: int = 128, most: int = 20, patience: int = 3, iterations: int = 8, kernels: tuple[int, int] = (64, 128), seed: int = 42, initial: networks.Network | None = None, step: float = 3e-3):
+    """(best network, trace): epochs of `iterations` steps, one after the other with the optimizer's state carried on, until the
+    validation loss hasn't fallen for `patience` epochs. trace: (round, loss, train_loss, best)."""
+    best, found = networks.train(train, columns, validation, start=initial, kernels=kernels, hidden=hidden, epochs=most, patience=patience, steps=iterations, rate=step, seed=seed)
+    low = min(loss for _, _, loss in found)
+    rows = [(i, loss, fit_loss, loss == low) for i, fit_loss, loss in found]
+    return best, train.sparkSession.createDataFrame(rows, "round int, loss double, train_loss double, best boolean")
+
+
+def neural_finetune(base: networks.Network, study: DataFrame, columns: list[str] = FEATURES, validation: DataFrame | None = None, rounds: int = 20, step: float = 1e-4, patience: int = 3) -> networks.Network:
+    """Go on from the base network by small steps on the new domain's study part, with early stopping if a validation part is given."""
+    return networks.train(study, columns, validation, start=base, epochs=rounds, rate=step, patience=patience)[0]
 
 
 def soft_vote(df: DataFrame, a: str = "p_rf", b: str = "p_nn", threshold: float = 0.5, inclusive: bool = True) -> DataFrame:
@@ -116,18 +95,37 @@ def model_name(c: Column) -> Column:
     return F.when(c.isin("ton_iot", "omni"), c).otherwise(F.concat(c, F.lit("_finetuned")))
 
 
+#: The names of stored models by domain, and what a status board calls them.
+STORED_AS = {"ton": "ton_iot", "bot": "bot_iot", "cic": "cic_ids2017"}
+GLOBAL, GLOBAL_TITLE, TITLE = "omni", "OMNI (GLOBAL)", "Hybrid Ensemble (RF+NN) - "
+
+
+def model_path(root: str, choice: str) -> str:
+    """Where the forest of a choice is stored."""
+    return f"{root}/rf_model_{choice if choice in ('ton_iot', GLOBAL) else choice + '_finetuned'}"
+
+
+def stored_models(spark: SparkSession, root: str) -> DataFrame:
+    """(model, path, features, trees, depth, saved) of every forest stored under root, read from what was saved with it."""
+    kind = "class string, timestamp long, numFeatures int, numTrees int, paramMap struct<maxDepth: int, numTrees: int>"
+    found = spark.read.text(f"{root}/rf_model_*/stages/*/metadata").select(F.col("_metadata.file_path").alias("file"), F.from_json("value", kind).alias("m"))
+    name = F.regexp_extract("file", "/rf_model_([^/]+)/stages/", 1)
+    path = F.regexp_extract("file", "^(.*/rf_model_[^/]+)/stages/", 1)
+    forests = found.where(F.col("m.class").contains("RandomForest"))
+    return forests.select(name.alias("model"), path.alias("path"), F.col("m.numFeatures").alias("features"), F.col("m.numTrees").alias("trees"), F.col("m.paramMap.maxDepth").alias("depth"), F.timestamp_millis("m.timestamp").alias("saved"))
+
+
 def registry(flows: DataFrame, root: str) -> DataFrame:
-    """(choice, model, path, features, depth, status, rows, attacks): for each domain of flows (domain, label, ...) and for all
-    together, omni, where its model lies, what a status board calls it, and the rows behind it."""
+    """(choice, model, path, features, trees, depth, saved, status, rows, attacks): for each domain of flows (domain, label, ...)
+    and for all together, omni, the model stored for it, what a status board calls it, and the rows behind it. A choice without
+    a stored model has nulls in its place."""
     counts = flows.rollup("domain").agg(F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("attacks"), F.grouping("domain").alias("all"))
-    names = F.create_map(*[F.lit(x) for pair in (("ton", "ton_iot"), ("bot", "bot_iot"), ("cic", "cic_ids2017")) for x in pair])
-    choice = F.when(F.col("all") == 1, "omni").otherwise(F.coalesce(names[F.col("domain")], F.col("domain")))
-    frame = counts.select(choice.alias("choice"), "rows", "attacks")
-    shown = F.when(F.col("choice") == "omni", "OMNI (GLOBAL)").otherwise(F.upper("choice"))
-    return frame.select(
-        "choice", model_name(F.col("choice")).alias("model"), F.concat(F.lit(root + "/rf_model_"), model_name(F.col("choice"))).alias("path"),
-        F.when(F.col("choice") == "omni", 14).otherwise(28).alias("features"), F.lit(15).alias("depth"), F.concat(F.lit("Hybrid Ensemble (RF+NN) - "), shown).alias("status"), "rows", "attacks",
-    )
+    names = F.create_map(*[F.lit(x) for pair in STORED_AS.items() for x in pair])
+    choice = F.when(F.col("all") == 1, GLOBAL).otherwise(F.coalesce(names[F.col("domain")], F.col("domain")))
+    frame = counts.select(choice.alias("choice"), "rows", "attacks").withColumn("model", model_name(F.col("choice")))
+    shown = F.when(F.col("choice") == GLOBAL, GLOBAL_TITLE).otherwise(F.upper("choice"))
+    joined = frame.join(stored_models(flows.sparkSession, root), "model", "left")
+    return joined.select("choice", "model", "path", "features", "trees", "depth", "saved", F.concat(F.lit(TITLE), shown).alias("status"), "rows", "attacks")
 
 
 def save(model, path: str) -> None:
@@ -155,18 +153,13 @@ def measures(scored: DataFrame, score: str, label: str = "label") -> dict[str, f
     return {"accuracy": evaluation.accuracy(marked).first()[0], "auc": evaluation.roc_auc(scored, score, label).first()[0]}
 
 
-def transfer_eval(base: DataFrame, targets: dict[str, DataFrame], columns: list[str] = FEATURES, study: float = 0.2, **forest: int) -> DataFrame:
-    """(domain, regime, metric, value): the base domain's forest on each target as it is, and one fitted on the target's
-    study part; both are measured on the exam part, which neither has seen."""
-    spark, rows = base.sparkSession, []
-    zero = forest_fit(base, columns, **forest)
-    for domain, target in targets.items():
-        parts = sampling.split_stratified(target, share=study, names=("study", "exam")).persist()
-        exam = parts.where("split = 'exam'")
-        own = forest_fit(parts.where("split = 'study'"), columns, **forest)
+def transfer_eval(zero: RandomForestRegressionModel, targets: dict[str, tuple[RandomForestRegressionModel, DataFrame]], spark: SparkSession, columns: list[str] = FEATURES) -> DataFrame:
+    """(domain, regime, metric, value): the base domain's forest on each target as it is, and the one fitted on the target's
+    study part; both are measured on the exam part, which neither has seen. targets: domain -> (forest, exam part)."""
+    rows = []
+    for domain, (own, exam) in targets.items():
         for regime, model in (("zero_shot", zero), ("refit", own)):
             rows += [(domain, regime, k, float(v)) for k, v in measures(forest_proba(exam, model, columns), "p_rf").items()]
-        parts.unpersist()
     return spark.createDataFrame(rows, "domain string, regime string, metric string, value double")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowguard.functions import columns as C
 from flowguard.functions import schema as S
-from flowguard.operators import alerts, clean, detectors, evaluation, explain, features, models, profile, sampling
+from flowguard.operators import alerts, clean, detectors, evaluation, explain, features, models, networks, profile, sampling
 from flowguard.plans.fixtures import Views, with_views
 from flowguard.sources import flows as io
 from flowguard.sources.scratch import fresh_path, written
@@ -484,16 +484,22 @@ def inject_attacks(v):
 
 _KERNELS = [[1.0, 0.0, -1.0], [-1.0, 2.0, -1.0]]
 
-# --- models: few and shallow trees here, the library's defaults are 100 of depth 15
+# --- models: forests of 100 trees, 50 for all domains together, of depth 15; networks of 64 and 128 kernels and 128 dense units
 
-_FOREST = {"trees": 8, "depth": 8, "bins": 64}
+_BINS = 64
+#: What queries of one session share: split tables and the folder of stored models of each folder of tables.
+_SPLIT: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_MODELS: dict[tuple, str] = {}
 
 
-def _train_test(v, domain: str | None = None) -> tuple[DataFrame, DataFrame]:
-    rows = v.flows_raw if domain is None else v.flows_raw.where(F.col("domain") == domain)
-    parts = sampling.split_stratified(features.featurise(rows, ("flow_key", "label")))
-    parts = written(parts, "parts")
-    return parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
+def _train_test(v, domain: str | None = None, share: float = 0.2, names: tuple[str, str] = ("test", "train")) -> tuple[DataFrame, DataFrame]:
+    """The larger and the smaller part of a stratified split, written once a session."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, domain, share, names)
+    if key not in _SPLIT:
+        rows = v.flows_raw if domain is None else v.flows_raw.where(F.col("domain") == domain)
+        parts = written(sampling.split_stratified(features.featurise(rows, ("flow_key", "label")), share=share, names=names), "parts")
+        _SPLIT[key] = tuple(parts.where(F.col("split") == n).drop("split") for n in names[::-1])
+    return _SPLIT[key]
 
 
 def _scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -501,29 +507,87 @@ def _scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(features.apply_scaler(x, scaler, S.FEATURES) for x in (train, test))
 
 
+def _global_parts(v) -> DataFrame:
+    bot = clean.to_mapped(v.flows_bot, "bot").withColumn("label", F.col("label").cast("string"))
+    cic = clean.to_mapped(_cic(v), "cic").withColumn("label", F.col("label").cast("string"))
+    ton = v.flows_raw.where("domain = 'ton'").drop("domain").withColumn("label", F.col("label").cast("string"))
+    return written(sampling.split_stratified(models.global_frame({"ton": ton, "bot": bot, "cic": cic})), "global")
+
+
+def _root(v) -> str:
+    """The folder of the session's stored models for a folder of tables."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = fresh_path(v.spark, "models")
+    return _MODELS[key]
+
+
+def _stored(v, name: str, fit):
+    """A model stored under a name, fitted and stored first if it isn't there."""
+    key = (_root(v), name)
+    path = models.model_path(_root(v), name)
+    if key not in _MODELS:
+        models.save(fit(), path)
+        _MODELS[key] = path
+    return models.load(path)
+
+
+def _forest(v):
+    """The forest fitted on the train part of all flows."""
+    return _stored(v, "all", lambda: models.forest_fit(_train_test(v)[0], bins=_BINS))
+
+
+def _domain_forest(v, domain: str):
+    """The base domain's forest, fitted on its train part, and the others', fitted on their study part."""
+    study = lambda: _train_test(v, domain)[0] if domain == "ton" else _study_exam(v, domain)[0]
+    return _stored(v, models.STORED_AS[domain], lambda: models.forest_fit(study(), bins=_BINS))
+
+
+def _study_exam(v, domain: str) -> tuple[DataFrame, DataFrame]:
+    exam, study = _train_test(v, domain, 0.2, ("study", "exam"))
+    return study, exam
+
+
+def _global_forest(v, parts=None):
+    return _stored(v, models.GLOBAL, lambda: models.forest_fit((_global_parts(v) if parts is None else parts).where("split = 'train'"), S.FEATURES[:14], trees=50, bins=_BINS))
+
+
+def _network(v, domain: str | None = None):
+    """(network, scaler, trace) of the second voter, fitted with early stopping on the train part; shared like the forests."""
+    key = (_root(v), "network", domain)
+    if key not in _MODELS:
+        train, _ = _train_test(v, domain)
+        scaler = written(features.fit_scaler(train, S.FEATURES), "scaler")
+        parts = sampling.split_tail(features.apply_scaler(train, scaler, S.FEATURES), ["flow_key"], 0.1)
+        net, trace = models.early_stop(parts.where("part = 'fit'"), parts.where("part = 'validation'"))
+        path = f"{_root(v)}/nn_model_{domain or 'all'}"
+        networks.save(net, path)
+        _MODELS[key] = (path, scaler, trace)
+    path, scaler, trace = _MODELS[key]
+    return networks.load(path), scaler, trace
+
+
 @query()
 def rf_fit(v):
-    train, test = _train_test(v)
-    found = models.measures(models.forest_proba(test, models.forest_fit(train, **_FOREST)), "p_rf")
+    _, test = _train_test(v)
+    found = models.measures(models.forest_proba(test, _forest(v)), "p_rf")
     return v.spark.createDataFrame(sorted(found.items()), "metric string, value double")
 
 
 @query()
 def rf_predict(v):
-    train, test = _train_test(v)
-    return models.forest_predict(test, models.forest_fit(train, **_FOREST)).select("flow_key", "label", "prediction")
+    return models.forest_predict(_train_test(v)[1], _forest(v)).select("flow_key", "label", "prediction")
 
 
 @query()
 def rf_proba(v):
-    train, test = _train_test(v)
-    return models.forest_proba(test, models.forest_fit(train, **_FOREST)).select("flow_key", "label", "p_rf")
+    return models.forest_proba(_train_test(v)[1], _forest(v)).select("flow_key", "label", "p_rf")
 
 
 @query()
 def model_roundtrip(v):
-    train, test = _train_test(v)
-    model, path = models.forest_fit(train, **_FOREST), fresh_path(v.spark, "model")
+    _, test = _train_test(v)
+    model, path = _forest(v), fresh_path(v.spark, "model")
     models.save(model, path)
     before = models.forest_proba(test, model).select("flow_key", "p_rf")
     return before.join(models.forest_proba(test, models.load(path)).select("flow_key", F.col("p_rf").alias("p_loaded")), "flow_key")
@@ -540,32 +604,30 @@ def scaler_roundtrip(v):
 
 @query()
 def neural_fit(v):
-    (train, columns), (test, _) = (models.convolved(x, _KERNELS) for x in _scaled(*_train_test(v)))
-    found = models.measures(models.neural_proba(test, models.neural_fit(train, columns, hidden=16, rounds=25), columns), "p_nn")
-    return v.spark.createDataFrame(sorted(found.items()), "metric string, value double")
+    net, scaler, _ = _network(v)
+    test = features.apply_scaler(_train_test(v)[1], scaler, S.FEATURES)
+    return v.spark.createDataFrame(sorted(models.measures(models.neural_proba(test, net), "p_nn").items()), "metric string, value double")
 
 
 @query()
 def early_stop(v):
-    train, _ = _scaled(*_train_test(v))
-    parts = sampling.split_tail(train, ["flow_key"], 0.1)
-    return models.early_stop(parts.where("part = 'fit'"), parts.where("part = 'validation'"), hidden=8, iterations=4)[1]
+    return _network(v)[2]
 
 
 @query()
 def neural_finetune(v):
-    train, _ = _scaled(*_train_test(v, "ton"))
-    study, exam = _scaled(*_train_test(v, "bot"))
-    base = models.neural_fit(train, hidden=16, rounds=20)
-    tuned = models.neural_finetune(base, study, hidden=16, rounds=5)
+    base, _, _ = _network(v, "ton")
+    study, exam = _scaled(*_study_exam(v, "bot"))
+    parts = sampling.split_tail(study, ["flow_key"], 0.2)
+    tuned = models.neural_finetune(base, parts.where("part = 'fit'"), validation=parts.where("part = 'validation'"))
     rows = [(name, k, x) for name, m in (("base", base), ("tuned", tuned)) for k, x in models.measures(models.neural_proba(exam, m), "p_nn").items()]
     return v.spark.createDataFrame(rows, "model string, metric string, value double")
 
 
 @query()
 def neural_predict(v):
-    train, test = _scaled(*_train_test(v))
-    scored = models.neural_proba(test, models.neural_fit(train, hidden=8, rounds=10))
+    net, scaler, _ = _network(v)
+    scored = models.neural_proba(features.apply_scaler(_train_test(v)[1], scaler, S.FEATURES), net)
     return scored.select("flow_key", "label", "p_nn", C.attack_decision(F.col("p_nn"), 0.5, False).alias("strict"), C.attack_decision(F.col("p_nn")).alias("inclusive"))
 
 
@@ -592,7 +654,10 @@ c AS (SELECT CASE domain WHEN 'ton' THEN 'ton_iot' WHEN 'bot' THEN 'bot_iot' WHE
 SELECT choice, CASE WHEN choice IN ('ton_iot', 'omni') THEN choice ELSE choice || '_finetuned' END AS model, CASE WHEN choice = 'omni' THEN 14 ELSE 28 END AS features,
  'Hybrid Ensemble (RF+NN) - ' || CASE WHEN choice = 'omni' THEN 'OMNI (GLOBAL)' ELSE upper(choice) END AS status, rows, attacks FROM c""")
 def model_registry(v):
-    return models.registry(v.flows_raw, fresh_path(v.spark, "models")).select("choice", "model", "features", "status", "rows", "attacks")
+    for domain in models.STORED_AS:
+        _domain_forest(v, domain)
+    _global_forest(v)
+    return models.registry(v.flows_raw, _root(v)).select("choice", "model", "features", "status", "rows", "attacks")
 
 
 _POOLED = " || ".join(
@@ -609,19 +674,15 @@ def conv_features(v):
 
 @query()
 def global_model(v):
-    bot = clean.to_mapped(v.flows_bot, "bot").withColumn("label", F.col("label").cast("string"))
-    cic = clean.to_mapped(_cic(v), "cic").withColumn("label", F.col("label").cast("string"))
-    ton = v.flows_raw.where("domain = 'ton'").drop("domain").withColumn("label", F.col("label").cast("string"))
-    parts = written(sampling.split_stratified(models.global_frame({"ton": ton, "bot": bot, "cic": cic})), "global")
-    model = models.forest_fit(parts.where("split = 'train'"), S.FEATURES[:14], **_FOREST)
-    found = models.measures(models.forest_proba(parts.where("split = 'test'"), model, S.FEATURES[:14]), "p_rf")
+    parts = _global_parts(v)
+    found = models.measures(models.forest_proba(parts.where("split = 'test'"), _global_forest(v, parts), S.FEATURES[:14]), "p_rf")
     return v.spark.createDataFrame(sorted(found.items()), "metric string, value double")
 
 
 @query()
 def transfer_eval(v):
-    rows = written(features.featurise(v.flows_raw, ("flow_key", "label", "domain")), "domains")
-    return models.transfer_eval(rows.where("domain = 'ton'"), {d: rows.where(F.col("domain") == d) for d in ("bot", "cic")}, **_FOREST)
+    targets = {d: (_domain_forest(v, d), _study_exam(v, d)[1]) for d in ("bot", "cic")}
+    return models.transfer_eval(_domain_forest(v, "ton"), targets, v.spark)
 
 
 # --- evaluation
@@ -661,8 +722,7 @@ def roc_auc(v):
 
 @query()
 def throughput(v):
-    train, test = _train_test(v)
-    model = models.forest_fit(train, **_FOREST)
+    test, model = _train_test(v)[1], _forest(v)
     return models.throughput(test, lambda df: models.forest_proba(df, model), "score")
 
 
@@ -688,9 +748,7 @@ def threshold_sweep(v):
 
 @query()
 def shap_values(v):
-    train, test = _train_test(v)
-    model = models.forest_fit(train, trees=5, depth=5, bins=32)
-    return explain.shap_values(sampling.sample_n(test, 500), model, S.FEATURES)
+    return explain.shap_values(sampling.sample_n(_train_test(v)[1], 500), _forest(v), S.FEATURES)
 
 
 @query("SELECT feature, round(avg(abs(phi)), 9) AS importance FROM phi_raw GROUP BY feature")
@@ -706,10 +764,9 @@ def shap_beeswarm(v):
 @query()
 def lime_local(v):
     train, test = _train_test(v)
-    model, columns = models.forest_fit(train, trees=5, depth=6, bins=32), S.FEATURES[:14]
-    fixed = {c: F.lit(0.0) for c in S.FEATURES[14:]}
-    first = profile.preview(test.where("label = 1"), "flow_key", 1)
-    return explain.lime_local(first, train, columns, lambda df: models.forest_proba(df.withColumns(fixed), model, to="p"), samples=2000)
+    model = _forest(v)
+    attacks = profile.preview(test.where("label = 1"), "flow_key", 500)
+    return explain.lime_local(attacks, train, S.FEATURES, lambda df: models.forest_proba(df, model, to="p"), groups=("proto_", "conn_state_"))
 
 
 @query("SELECT flow_key, feature, CASE WHEN phi > 0 THEN 'PROMOTES' ELSE 'SUPPRESSES' END AS impact, printf('%.4f', phi) AS weight_text FROM phi_raw")
@@ -719,8 +776,8 @@ def impact_sign(v):
 
 @query()
 def mine_rules(v):
-    rows = features.featurise(v.flows_raw, ("flow_key", "label"))
-    return explain.apply_rules(rows, explain.mine_rules(written(rows, "rules"), ["duration", "src_ip_bytes", "dst_ip_bytes", "dst_pkts", "proto_tcp"], "label", rules=2, conditions=2))
+    rows = written(features.featurise(v.flows_raw, ("flow_key", "label")), "rules")
+    return explain.apply_rules(rows, explain.mine_rules(rows, S.FEATURES, "label"))
 
 
 _RULES = [[("dst_ip_bytes", ">", 2000.0), ("duration", "<=", 60.0)], [("src_pkts", ">", 40.0)]]
@@ -749,7 +806,7 @@ def threat_level(v):
 
 @query(f"""WITH l AS (SELECT flow_key, round(0.15::DOUBLE + sum(phi), 9) AS score, list(feature ORDER BY phi DESC, feature) AS f FROM phi_raw GROUP BY flow_key),
 n AS (SELECT flow_key, CASE WHEN score > 0.6 THEN 'High' WHEN score > 0.4 THEN 'Medium' ELSE 'Low' END AS level, {_NAME_SQL.format('f[1]')} AS a, {_NAME_SQL.format('f[2]')} AS b FROM l)
-SELECT flow_key, level, CASE WHEN level = 'High' THEN printf('Severe threat: "%s" and "%s" were highly abnormal.', a, b) ELSE printf('Traffic looks relatively safe; the leading factor was "%s".', a) END AS text FROM n""")
+SELECT flow_key, level, CASE WHEN level = 'High' THEN printf('Highest suspicion: this flow stands out by "%s", then by "%s".', a, b) ELSE printf('No severe sign in this flow; "%s" weighs most.', a) END AS text FROM n""")
 def summary_text(v):
     return explain.summary_text(v.phi_raw)
 
@@ -777,13 +834,11 @@ def alert_build(v):
 
 
 def voters(v):
-    """What scores a flow as it arrives: both voters, fitted in batch, and their mean."""
-    train, _ = _train_test(v)
+    """What scores a flow as it arrives: both stored voters, fitted in batch, and their mean."""
     columns = [f"_{c}" for c in S.FEATURES]
-    train = train.withColumnsRenamed(dict(zip(S.FEATURES, columns)))
-    forest = models.forest_fit(train, columns, trees=5, depth=6, bins=32)
-    scaler = written(features.fit_scaler(train, columns), "scaler")
-    net = models.neural_fit(features.apply_scaler(train, scaler, columns), columns, hidden=8, rounds=10)
+    forest = _forest(v)
+    net, scaler, _ = _network(v)
+    scaler = scaler.toDF(*[f"_{c}" for c in scaler.columns])
 
     def score(df):
         out = models.forest_proba(df.withColumns({f"_{c}": x for c, x in features.flow_features(df).items()}), forest, columns)

@@ -22,23 +22,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def release() -> None:
     """Delete what lies at fresh paths."""
     while _made:
-        spark, path = _made.pop()
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_made.pop())
         except Exception:  # noqa: BLE001  the session has ended: its folder goes with the cluster
             continue
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a frame as Parquet and read it back: its lineage ends there."""
+def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write a frame as Parquet, in a folder for each value of `by` if given, and read it back: its lineage ends there."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that written() has made once nothing will read them any more; other frames are left alone."""
+    gone = {getattr(df, "_written_to", None) for df in frames}
+    for item in [x for x in _made if x[1] in gone]:
+        _made.remove(item)
+        _delete(*item)
 
 
 def paths(spark: SparkSession, glob: str) -> list[str]:
