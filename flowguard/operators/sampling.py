@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowguard.functions.columns import fraction, key_order
-from flowguard.sources.scratch import written
+from flowguard.sources.scratch import discard, written
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "flow_key") -> DataFrame:
@@ -70,63 +68,122 @@ def split_tail(df: DataFrame, order: list[str], share: float = 0.2) -> DataFrame
     return rows.withColumn("part", F.when(F.col("place") > cut, "validation").otherwise("fit")).drop("_p", "_before", "_total")
 
 
-#: Places in a block of neighbours(), more or less.
-BLOCK = 1000
+#: Places in a block of neighbours() at most, children of a node of its tree, and asking places that meet a block in one group.
+BLOCK, BITS, GROUP = 1000, 3, 4096
+FAN = 1 << BITS
+
+
+def _nearest(asking: np.ndarray, answering: np.ndarray, spots: list[str], keys: list[list[str]], k: int) -> list[tuple[str, float, str]]:
+    """(spot, d, other): each asking place's k nearest points by (squared distance, key). keys: of the points at each answering place."""
+    rows = []
+    for first in range(0, len(asking), 512):
+        some = asking[first : first + 512]
+        square = np.zeros((len(some), len(answering)))
+        for i in range(asking.shape[1]):
+            square += (some[:, i, None] - answering[:, i]) * (some[:, i, None] - answering[:, i])
+        last = min(k, len(answering)) - 1
+        reach = np.partition(square, last, axis=1)[:, last : last + 1]
+        for spot, d, near in zip(spots[first : first + 512], square, (square <= reach) | np.isnan(reach)):
+            found = sorted((d[j], key) for j in np.flatnonzero(near) for key in keys[j])[:k]
+            rows += [(spot, x, key) for x, key in found]
+    return rows
+
 
+def _gap(at: Column, low: Column, high: Column) -> Column:
+    """Squared distance of a place from a box, in the order and rounding of _nearest: never more than that to a place inside."""
+    beyond = F.zip_with(F.zip_with(low, at, lambda a, x: a - x), F.zip_with(at, high, lambda x, b: x - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return F.aggregate(beyond, F.lit(0.0), lambda total, g: total + g * g)
 
-def _nearest(columns: list[str], k: int):
-    """For pairs of blocks (x: whose places ask, y: whose points answer): each place's k nearest points in y by (d, key)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for asking, answering in zip(part["x"], part["y"]):
-                square = np.zeros((len(asking), len(answering)))
-                for i in range(len(columns)):
-                    one, two = (np.array([p["at"][i] for p in side], np.float64) for side in (asking, answering))
-                    square += (one[:, None] - two) * (one[:, None] - two)
-                last = min(k, len(answering)) - 1
-                reach = np.partition(square, last, axis=1)[:, last : last + 1]
-                rows = []
-                for p, d, near in zip(asking, square, (square <= reach) | np.isnan(reach)):
-                    found = sorted((d[j], key) for j in np.flatnonzero(near) for key in answering[j]["keys"])[:k]
-                    rows += [(p["keys"][0], x, key) for x, key in found]
-                yield pd.DataFrame(rows, columns=["spot", "d", "other"])
+def partition_tree(places: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(places with their block, nodes): places (at, ...) cut into blocks of at most BLOCK by quantiles, each block along the
+    column in which its middle half is widest. A block's children are FAN block + 1 to FAN block + FAN.
 
-    return run
+    nodes: (node, parent, leaf, low, high), with the box of what lies below each. All blocks of a level are cut by one
+    aggregation and one join. Places are distinct, so that every cut leaves something on both sides.
+    """
+    parts = [i / FAN for i in range(1, FAN)]
+    placed = written(places.withColumn("block", F.lit(0).cast("long")).withColumn("done", F.lit(False)), "tree")
+    while True:
+        open_ = placed.where("NOT done")
+        measured = open_.groupBy("block").agg(
+            F.count("*").alias("n"), *[F.percentile_approx(F.col("at")[i], parts, 500).alias(f"q{i}") for i in range(width)], *[f(F.col("at")[i]).alias(f"{m}{i}") for i in range(width) for m, f in (("lo", F.min), ("hi", F.max))]
+        )
+        # by the spread of the middle half, or of all where that is nothing anywhere
+        options = [F.struct((F.col(f"q{i}")[FAN * 3 // 4 - 1] - F.col(f"q{i}")[FAN // 4 - 1]).alias("half"), (F.col(f"hi{i}") - F.col(f"lo{i}")).alias("all"), F.lit(i).alias("dim"), F.when(F.col(f"q{i}")[FAN * 3 // 4 - 1] > F.col(f"q{i}")[FAN // 4 - 1], F.array_distinct(f"q{i}")).otherwise(F.array(f"lo{i}")).alias("cuts")) for i in range(width)]
+        splits = written(measured.select("block", "n", F.array_max(F.array(*options)).alias("s")).select("block", (F.col("n") > BLOCK).alias("large"), "s.dim", "s.cuts"), "splits")
+        if not splits.where("large").limit(1).count():
+            discard(splits)
+            break
+        moved = open_.join(_small(splits), "block")
+        value = F.element_at("at", F.col("dim") + 1)
+        child = F.col("block") * FAN + 1 + F.size(F.filter("cuts", lambda c: c < value))
+        moved = moved.withColumn("block", F.when(F.col("large"), child).otherwise(F.col("block"))).withColumn("done", ~F.col("large")).drop("large", "dim", "cuts")
+        before, placed = placed, written(moved.unionByName(placed.where("done")), "tree")
+        discard(before, splits)
+    sides = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(width)])
+    leaves = placed.groupBy("block").agg(sides(F.min, "at").alias("low"), sides(F.max, "at").alias("high"))
+    parent = lambda x: F.shiftright(x - 1, BITS)  # noqa: E731  -1 for the root
+    line = [F.col("block")]
+    for _ in range(60 // BITS):
+        line.append(parent(line[-1]))
+    above = leaves.select("block", "low", "high", F.explode(F.filter(F.array(*line), lambda x: x >= 0)).alias("node"))
+    nodes = above.groupBy("node").agg(sides(F.min, "low").alias("low"), sides(F.max, "high").alias("high"), F.bool_and(F.col("block") == F.col("node")).alias("leaf"))
+    return placed.drop("done"), written(nodes.withColumn("parent", parent(F.col("node"))), "nodes")
+
+
+def _small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A written frame marked for broadcast if it has at most so many rows; otherwise the join is left to the optimizer."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def neighbours(points: DataFrame, columns: list[str], k: int = 5, key: str = "flow_key") -> DataFrame:
     """(key, others): the keys of each point's k nearest others by Euclidean distance, ties by key; exact at any size.
 
-    Points of one place have the same list but for themselves, so places are compared, each with its k + 1 smallest keys.
-    They are cut into blocks by range. A block's places are first compared among themselves, which bounds how far they
-    need to look; then with the blocks whose box lies within that bound.
+    Points of one place have the same list but for themselves, so places are compared, each with its k + 1 smallest keys. They
+    are cut into the blocks of a partition tree. A place first looks in its own block, which bounds how far it needs to look
+    further; then it goes down the tree, level by level, to the blocks whose box lies within that bound.
     """
     here = points.select(F.col(key).cast("string").alias("key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
     # In two steps, so that no task sorts all points of one place.
     firsts = here
     for w in (W.partitionBy("at", F.pmod(F.xxhash64("key"), F.lit(64))), W.partitionBy("at")):
         firsts = firsts.withColumn("_i", F.row_number().over(w.orderBy("key"))).where(F.col("_i") <= k + 1).drop("_i")
-    places = written(firsts.groupBy("at").agg(F.sort_array(F.collect_list("key")).alias("keys")), "places")
-    cut = places.repartitionByRange(places.count() // BLOCK + 1, "at").withColumn("block", F.spark_partition_id())
-    sides = [f(F.col("at")[i]).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))]
-    blocks = written(cut.groupBy("block").agg(F.collect_list(F.struct("at", "keys")).alias("x"), *sides), "blocks")
+    places = firsts.groupBy("at").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    placed, nodes = partition_tree(places.withColumn("spot", F.col("keys")[0]), len(columns))
     kind = "spot string, d double, other string"
-    own = written(blocks.select("x", F.col("x").alias("y")).mapInPandas(_nearest(columns, k + 1), kind), "own")
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        at = np.stack(part["at"].to_numpy())
+        return pd.DataFrame(_nearest(at, at, list(part["spot"]), list(part["keys"]), k + 1), columns=["spot", "d", "other"])
+
+    def across(asking: pd.DataFrame, answering: pd.DataFrame) -> pd.DataFrame:
+        found = _nearest(np.stack(asking["at"].to_numpy()), np.stack(answering["at"].to_numpy()), list(asking["spot"]), list(answering["keys"]), k + 1) if len(asking) and len(answering) else []
+        return pd.DataFrame(found, columns=["spot", "d", "other"])
+
+    own = written(placed.groupBy("block").applyInPandas(inside, kind), "own")
     # A place with fewer than k + 1 points in its block has no bound yet.
-    far = own.groupBy("spot").agg(F.when(F.count("*") > k, F.max("d")).otherwise(float("inf")).alias("d"))
-    spots = blocks.select("block", F.explode("x").alias("p")).select("block", F.col("p.keys")[0].alias("spot"))
-    bounds = spots.join(far, "spot").groupBy("block").agg(F.max("d").alias("bound"))
-    boxes = blocks.drop("x").join(bounds, "block")
-    there = blocks.select(*[F.col(c).alias(f"_{c}") for c in blocks.columns if c != "x"])
-    gap = [F.greatest(F.col(f"lo{i}") - F.col(f"_hi{i}"), F.col(f"_lo{i}") - F.col(f"hi{i}"), F.lit(0.0)) for i in range(len(columns))]
-    pairs = boxes.crossJoin(F.broadcast(there)).where((F.col("block") != F.col("_block")) & ~(sum((g * g for g in gap), F.lit(0.0)) > F.col("bound")))
-    pairs = written(pairs.select("block", "_block"), "pairs")
-    both = pairs.join(blocks.select("block", "x"), "block").join(blocks.select(F.col("block").alias("_block"), F.col("x").alias("y")), "_block").select("x", "y")
-    other = both.repartition(max(1, min(400, pairs.count()))).mapInPandas(_nearest(columns, k + 1), kind)
-    ranked = own.unionAll(other).withColumn("_i", F.row_number().over(W.partitionBy("spot").orderBy("d", "other"))).where(F.col("_i") <= k + 1)
+    bounds = own.groupBy("spot").agg(F.when(F.count("*") > k, F.max("d")).otherwise(float("inf")).alias("bound"))
+    asks = placed.select("spot", "at", F.col("block").alias("own")).join(bounds, "spot").withColumn("node", F.lit(0).cast("long"))
+    asks, found, below = written(asks, "asks"), None, nodes.where("NOT leaf").limit(1).count()
+    while below:
+        down = asks.join(_small(nodes.withColumnRenamed("node", "child").withColumnRenamed("parent", "node")), "node").where(~(_gap(F.col("at"), F.col("low"), F.col("high")) > F.col("bound")) & (F.col("child") != F.col("own")))
+        before, down = asks, written(down.select("spot", "at", "own", "bound", F.col("child").alias("node"), "leaf"), "asks")
+        discard(before)
+        met = down.where("leaf").select("spot", "at", F.col("node").alias("block"))
+        found = met if found is None else found.unionByName(met)
+        asks = down.where("NOT leaf").drop("leaf")
+        below = asks.limit(1).count()
+    every = own
+    if found is not None:
+        # a block that very many places ask is asked in groups
+        groups = written(found.groupBy("block").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "groups")
+        left = found.join(_small(groups), "block").withColumn("group", F.pmod(F.xxhash64("spot"), F.col("groups"))).select("block", "group", "spot", "at")
+        right = placed.select("block", "at", "keys").join(_small(groups), "block").select("block", "at", "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+        every = own.unionAll(left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(across, kind))
+    ranked = every.withColumn("_i", F.row_number().over(W.partitionBy("spot").orderBy("d", "other"))).where(F.col("_i") <= k + 1)
     lists = ranked.groupBy("spot").agg(F.sort_array(F.collect_list(F.struct("_i", "other"))).alias("l"))
-    lists = written(places.withColumn("spot", F.col("keys")[0]).join(lists, "spot").select("at", F.col("l.other").alias("l")), "lists")
+    lists = written(placed.join(lists, "spot").select("at", F.col("l.other").alias("l")), "lists")
     return here.join(lists, "at").select(F.col("key").alias(key), F.slice(F.filter("l", lambda x: x != F.col("key")), 1, k).alias("others"))
 
 
