@@ -22,7 +22,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark knows."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -32,7 +33,7 @@ def release() -> None:
     """Delete what lies at fresh paths."""
     while _made:
         try:
-            _delete(*_made.pop())
+            delete(*_made.pop())
         except Exception:  # noqa: BLE001  the session has ended: its folder goes with the cluster
             continue
 
@@ -51,7 +52,7 @@ def discard(*frames: DataFrame) -> None:
     gone = {getattr(df, "_written_to", None) for df in frames}
     for item in [x for x in _made if x[1] in gone]:
         _made.remove(item)
-        _delete(*item)
+        delete(*item)
 
 
 def paths(spark: SparkSession, glob: str) -> list[str]:

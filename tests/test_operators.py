@@ -296,9 +296,75 @@ def test_model_queries_hold_their_invariants(spark, sf_dir):
     assert loaded.count() > 0 and loaded.where("p_rf <> p_loaded").count() == 0
 
 
-def test_beacon_stream_gathers_gaps(spark):
+END = ("end", "S0", 4_000_000_000)
+
+
+def _handshakes(spark, rows, files=1):
+    """(src_ip, conn_state, seconds) as a feed of so many files, each of some rows of any time, closed by a row far in the future."""
     folder = fresh_path(spark, "beacon")
-    rows = spark.createDataFrame([("a", "S0", 1_700_000_000 + 60 * i) for i in range(6)] + [("a", "SF", 1_700_000_001), ("b", "S0", 1_700_000_000)], "src_ip string, conn_state string, at long")
-    rows.select("src_ip", "conn_state", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.parquet(folder)
-    got = feeds.drained(feeds.beacon(feeds.folder_feed(spark, folder)), "update", "beacon").collect()
+    for i in range(files):
+        part = spark.createDataFrame(rows[i::files], "src_ip string, conn_state string, at long")
+        part.select("src_ip", "conn_state", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([END], "src_ip string, conn_state string, at long").select("src_ip", "conn_state", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    return feeds.folder_feed(spark, folder, per_trigger=1)
+
+
+def test_beacon_stream_gathers_gaps(spark):
+    rows = [("a", "S0", 1_700_000_000 + 60 * i) for i in range(6)] + [("a", "SF", 1_700_000_001), ("b", "S0", 1_700_000_000)]
+    got = feeds.drained(feeds.beacon(_handshakes(spark, rows)), "update", "beacon").collect()
     assert [(r["src_ip"], r["gaps"], r["avg_gap"], r["variation"]) for r in got] == [("a", 5, 60.0, 0.0)]
+
+
+def test_beacon_stream_equals_batch_with_shuffled_files(spark):
+    rng = random.Random(8)
+    rows = [(f"s{rng.randrange(5)}", rng.choice(["S0", "SH", "SF"]), 1_700_000_000 + rng.randrange(2_000_000)) for _ in range(400)]
+    got = feeds.drained(feeds.beacon(_handshakes(spark, rows, files=5), "60 days"), "update", "beacon").collect()
+    last = {r["src_ip"]: r for r in sorted(got, key=lambda r: r["gaps"])}
+    assert last.keys() == {r[0] for r in rows}
+    for source, r in last.items():
+        at = sorted(t for s, state, t in rows if s == source and state != "SF")
+        gaps = [b - a for a, b in zip(at, at[1:])]
+        mean = sum(gaps) / len(gaps)
+        assert r["gaps"] == len(gaps) and r["avg_gap"] == pytest.approx(mean)
+        assert r["variation"] == pytest.approx((sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean)
+
+
+def test_alert_sink_drops_repeats_across_batches_and_compacts(spark, sf_dir):
+    rows = Views(spark, sf_dir).alerts_raw.orderBy("id").limit(30).persist()
+    folder, out, state = (fresh_path(spark, n) for n in ("a", "b", "c"))
+    for i in range(6):  # ten alerts a file, every second file a repeat
+        rows.offset(i // 2 * 10).limit(10).coalesce(1).write.mode("append").parquet(folder)
+    feeds.alert_sink(feeds.folder_feed(spark, folder, per_trigger=1), out, state)
+    assert spark.read.parquet(out).count() == 30
+    last = feeds._folders(spark, out)[-1][0]  # the six files and what the state store does at the end
+    assert last >= 5
+    want = [r["id"] for r in alerts.newest(rows, 12).collect()]
+    feeds.compact_alerts(spark, out, last + 1, keep=12)
+    assert [n for n, _ in feeds._folders(spark, out)] == [-last - 1]
+    assert [r["id"] for r in feeds.alert_log(spark, out).collect()] == want
+    # what a sink goes on with lies beside what was kept, and is compacted with it
+    rows.limit(1).withColumn("id", F.lit("new")).withColumn("timestamp", F.lit("9999-01-01 00:00:00").cast(rows.schema["timestamp"].dataType)).write.parquet(f"{out}/batch={last + 1}")
+    feeds.compact_alerts(spark, out, last + 2, keep=12)
+    assert [r["id"] for r in feeds.alert_log(spark, out).collect()] == ["new", *want[:11]]
+
+
+def test_late_rows_are_counted(spark):
+    folder = fresh_path(spark, "late")
+    days = ["2020-01-01", "2020-02-01", "2020-01-02", "2020-01-03", "2020-03-01"]
+    for d in days:  # rows are late by the watermark of the batch before: the third still counts, the fourth doesn't
+        spark.createDataFrame([(d, d)], "flow_key string, d string").select("flow_key", F.col("d").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    with feeds.Lateness().listening(spark) as late:
+        kept = feeds.drained(feeds.volumes(feeds.counted(feeds.folder_feed(spark, folder, per_trigger=1)))).collect()
+    assert (late.seen(), late.dropped()) == (5, 1)
+    assert [str(r["window_start"])[:10] for r in sorted(kept)] == ["2020-01-01", "2020-01-02", "2020-02-01"]
+
+
+def test_attacks_come_first_in_the_stream(spark, sf_dir):
+    flows = Views(spark, sf_dir).flows_raw.select("flow_key", "type", "label")
+    feed = feeds.ordered_feed(sampling.inject_attacks(flows, 20, "DDoS"), fresh_path(spark, "queue"))
+    seen = []
+    query = feed.writeStream.foreachBatch(lambda df, n: seen.append((n, df.count(), sorted(r[0] for r in df.select("priority").distinct().collect()))))
+    query.option("checkpointLocation", fresh_path(spark, "queue-state")).trigger(availableNow=True).start().awaitTermination()
+    order = [p for _, _, p in sorted(seen)]
+    assert order == sorted(order) and all(len(p) <= 1 for p in order)
+    assert sum(n for _, n, p in seen if p == [0]) == 20 and sum(n for _, n, _ in seen) == 20 + flows.where("label = 0").count()
