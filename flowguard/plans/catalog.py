@@ -522,6 +522,14 @@ def _root(v) -> str:
     return _MODELS[key]
 
 
+def share_models(spark: SparkSession, fitted_on: str, used_for: str) -> None:
+    """Fit and store both voters on one folder of tables, and use them for another too."""
+    v = Views(spark, fitted_on)
+    _forest(v)
+    _network(v)
+    _MODELS[spark.sparkContext.applicationId, used_for] = _root(v)
+
+
 def _stored(v, name: str, fit):
     """A model stored under a name, fitted and stored first if it isn't there."""
     key = (_root(v), name)
