@@ -10,9 +10,16 @@ from flowguard.functions.columns import numbers_of
 from flowguard.functions.schema import FEATURES, NUMERIC, PROTOCOLS, STATES
 
 
+#: More values than that are no categories.
+MOST_CATEGORIES = 1000
+
+
 def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted values of a categorical column; protocols and states are few."""
-    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """Sorted values of a categorical column; protocols and states are few. A column of very many values is refused."""
+    found = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_CATEGORIES + 1).collect())
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} values")
+    return found
 
 
 def onehot(df: DataFrame, columns: list[str], drop_first: bool = False) -> DataFrame:

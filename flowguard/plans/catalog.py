@@ -859,7 +859,8 @@ def voters(v):
 @query()
 def score_stream(v):
     folder = fresh_path(v.spark, "feed")
-    v.flows_raw.drop("label").write.parquet(folder)
+    # as many files at least as tasks can score at a time
+    v.flows_raw.drop("label").repartition(max(8, v.spark.sparkContext.defaultParallelism)).write.parquet(folder)
     return feeds.drained(feeds.score_stream(feeds.folder_feed(v.spark, folder), voters(v)), name="scores")
 
 

@@ -368,3 +368,10 @@ def test_attacks_come_first_in_the_stream(spark, sf_dir):
     order = [p for _, _, p in sorted(seen)]
     assert order == sorted(order) and all(len(p) <= 1 for p in order)
     assert sum(n for _, n, p in seen if p == [0]) == 20 and sum(n for _, n, _ in seen) == 20 + flows.where("label = 0").count()
+
+
+def test_categories_are_few(spark):
+    df = spark.range(3000).select(F.concat(F.lit("v"), F.col("id") % 1000).alias("x"), F.col("id").cast("string").alias("y"))
+    assert features.categories(df, "x") == sorted(f"v{i}" for i in range(1000))
+    with pytest.raises(ValueError, match="more than 1000"):
+        features.categories(df, "y")
