@@ -43,7 +43,7 @@ def test_planted_toxic_words_are_found(spark):
     labels = [i % 4 == 0 for i in range(600)]
     texts = [text(x) for x in labels]
     model = toxicity.fit(texts[:450], list(map(int, labels[:450])))
-    meter = toxicity._Meter(model.toxic, model.ordinary)
+    meter = toxicity._Meter(model.given)
     import numpy as np
 
     got = model.score(np.array([meter.features(t) for t in texts[450:]])) >= 0.7
@@ -121,7 +121,89 @@ def test_toxicity_reads_all_of_a_long_text(spark):
 
     texts = [" ".join(["plain", "words", "here", f"n{i % 7}", "zorkblat"] if i % 4 == 0 else ["plain", "words", "here", f"n{i % 7}"]) for i in range(300)]
     model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(300)])
-    meter = toxicity._Meter(model.toxic, model.ordinary)
+    meter = toxicity._Meter(model.given)
     long = "plain words here " * 40_000
     got = model.score(np.array([meter.features(t) for t in (long, long + "zorkblat", "y" * 300_000)]))
     assert got[0] < 0.5 < got[1] and got[2] < 0.7
+
+
+def _phrase_texts(n, seed):
+    """Every fourth text has two ordinary words side by side which the others have apart."""
+    import random
+
+    vocabulary, rng = random.Random(1), random.Random(seed)
+    common = ["".join(vocabulary.choice(["th", "er", "an", "in", "on", "lo", "ki"]) for _ in range(vocabulary.randint(1, 4))) for _ in range(400)]
+    texts = []
+    for i in range(n):
+        words = [rng.choice(common) for _ in range(80)]
+        if i % 4 == 0:
+            at = rng.randrange(80)
+            words[at:at] = ["silver", "tiger"]
+        else:
+            words[20:20], words[60:60] = ["silver"], ["tiger"]
+        texts.append(" ".join(words))
+    return texts, [int(i % 4 == 0) for i in range(n)]
+
+
+def test_toxic_phrases_of_ordinary_words_are_found():
+    import numpy as np
+
+    model = toxicity.fit(*_phrase_texts(1200, 1))
+    texts, toxic = _phrase_texts(300, 2)
+    meter = toxicity._Meter(model.given)
+    got = model.score(np.array([meter.features(t) for t in texts])) >= 0.7
+    assert np.mean(got == np.array(toxic, bool)) > 0.95
+
+
+def test_toxicity_features_and_scores_equal_the_definition():
+    """Every window compressed with both dictionaries by itself, nothing kept, hits counted one by one."""
+    import math
+    import re
+    import zlib
+
+    import numpy as np
+    import zstandard
+
+    texts, toxic = _phrase_texts(400, 3)
+    texts = [t + " zorkblat zorkblats" if y else t for t, y in zip(texts, toxic)]
+    model = toxicity.fit(texts, toxic)
+
+    def length(window, dictionary):
+        given = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    def saving(word, width, pair):
+        padded = f" {word} "
+        codes = [zlib.crc32(padded[i : i + width].encode()).to_bytes(4, "little") for i in range(max(1, len(padded) - width + 1))]
+        starts = range(0, max(1, len(codes) - 32 + 16), 16)
+        return max(length(b"".join(codes[i : i + 32]), pair[1]) - length(b"".join(codes[i : i + 32]), pair[0]) for i in starts)
+
+    hit_by = dict(zip(model.given.phrases.tolist(), model.given.hits.tolist()))
+    meter = toxicity._Meter(model.given)
+    for text in [*texts[:6], "silver tiger", "Zorkblat! silver-tiger " + "q" * 300, "x"]:
+        running = re.findall(r"[^\W\d_]+", text.lower())
+        by_word = sorted((saving(w, 3, model.given.words) for w in set(running)), reverse=True)
+        stems = [saving(w, 6, model.given.stems) for w in running]
+        pairs = {zlib.crc32(a.encode()) << 32 | zlib.crc32(b.encode()) for a, b in zip(running, running[1:])}
+        hits = [sum(hit_by.get(p, [0] * 4)[i] for p in pairs) for i in range(4)]
+        n = len(stems)
+        want = [by_word[0], sum(by_word[:2]) / len(by_word[:2]), *[sum(v >= x for v in by_word) for x in range(4, 25)], len(by_word)]
+        want += [sum(max(v, 0) for v in stems) / n, *[sum(v >= x for v in stems) / n for x in (4, 8, 12, 16, 20)], *hits]
+        got = meter.features(text)
+        assert np.allclose(got, want)
+        a, b, c = model.limits
+        word_hits, different, phrase_hits = math.log1p(want[2 + a]), math.log1p(want[23]), math.log1p(hits[c])
+        x = [want[0] / 10, want[1] / 10, word_hits, word_hits - different / 4, want[24], math.log1p(100 * want[25 + b]), phrase_hits, phrase_hits - different / 4]
+        logit = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights)) + model.bias
+        assert abs(model.score(got[None])[0] - 1 / (1 + math.exp(-logit))) < 1e-9
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    texts = [(i, ("zorkblat " if i % 2 else "") + f"plain words here {i} " * 20) for i in range(400)]
+    docs = spark.createDataFrame([*texts, (1000, "long " * 2_000_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, i % 2) for i, _ in texts], (1000, 1)], "doc_id long, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: taken.append(texts))
+    toxicity.train(docs, labels, F.lit(True), most_bytes=40_000)
+    toxicity.train(docs, labels, F.lit(True))
+    assert 20_000 < sum(map(len, taken[0])) < 60_000 and len(taken[1]) == 400
