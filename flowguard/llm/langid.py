@@ -69,14 +69,36 @@ def _flags() -> np.ndarray:
     return np.zeros(1 << _BITS, bool)
 
 
+#: The landmarks' coefficients are folded into weights of n-grams where those have at most so many numbers.
+MOST_WEIGHTS = 1 << 24
+
+
 @dataclass
 class Model:
-    """grams: n-grams that landmarks have; weights: their share in each language's score."""
+    """Landmarks by n-gram: those that have the n-gram grams[i] are marks[starts[i]:starts[i + 1]]; norms: the root of how many
+    n-grams each landmark has. A text's scores are bias and its kernel with the landmarks times their coefficients. That is
+    linear in presence, so with few languages weights, one row for each n-gram, stand for it."""
 
     grams: np.ndarray
-    weights: np.ndarray
-    bias: np.ndarray
+    starts: np.ndarray
+    marks: np.ndarray
+    norms: np.ndarray
     languages: list[str]
+    coefficients: np.ndarray | None = None
+    bias: np.ndarray | None = None
+    weights: np.ndarray | None = None
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """The kernel of each text with each landmark: only landmarks that share an n-gram are visited."""
+        out = np.zeros((len(texts), len(self.norms)))
+        for i, text in enumerate(texts):
+            ids = np.unique(_grams(text))
+            at = np.searchsorted(self.grams, ids)
+            at = at[np.r_[self.grams, -1][at] == ids]
+            count = self.starts[at + 1] - self.starts[at]
+            where = np.repeat(self.starts[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            out[i] = np.bincount(self.marks[where], minlength=len(self.norms)) / (self.norms * np.sqrt(max(1, len(ids))))
+        return out
 
     def features(self, texts: list[str], flags: np.ndarray) -> np.ndarray:
         """Which of the model's n-grams each text has, divided by the root of how many different ones it has at all. flags: scratch, left all false."""
@@ -89,31 +111,46 @@ class Model:
             flags[ids] = False
         return rows
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return self.features(texts, _flags()) @ self.weights + self.bias
+    def fold(self) -> None:
+        """Weights in place of coefficients, if they are few."""
+        if len(self.grams) * len(self.languages) > MOST_WEIGHTS:
+            return
+        of = np.repeat(np.arange(len(self.grams)), np.diff(self.starts))
+        share = self.coefficients / self.norms[:, None]
+        self.weights = np.stack([np.bincount(of, share[self.marks, k], len(self.grams)) for k in range(len(self.languages))], 1).astype(np.float32)
+
+    def scores(self, texts: list[str], flags: np.ndarray | None = None) -> np.ndarray:
+        if self.weights is not None:
+            return self.features(texts, _flags() if flags is None else flags) @ self.weights + self.bias
+        return self.kernel(texts) @ self.coefficients + self.bias
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 200, ridge: float = 0.05) -> Model:
-    """Kernel ridge regression on the Nyström features of up to `landmarks` of the texts, spread evenly over them."""
-    flags = _flags()
-    marks = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
-    for i in marks:
-        flags[_grams(texts[i])] = True
-    model = Model(np.flatnonzero(flags), np.zeros(0), np.zeros(0), sorted(set(languages)))
-    flags[:] = False
-    x = model.features([texts[i] for i in marks], flags)
-    # The kernel against the landmarks, some texts at a time.
-    c = np.concatenate([model.features(texts[i : i + 256], flags) @ x.T for i in range(0, len(texts), 256)]).astype(np.float64)
-    values, vectors = np.linalg.eigh(c[marks] + 1e-6 * np.eye(len(marks)))
+    """Kernel ridge regression on the Nyström features of up to `landmarks` of the texts, spread evenly over them.
+
+    Landmarks are kept as lists by n-gram and texts are gone through some at a time, so memory goes by the n-grams that
+    landmarks have and by the square of the number of landmarks, not by texts or by landmarks times n-grams.
+    """
+    chosen = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
+    sets = [np.unique(_grams(texts[i])) for i in chosen]
+    held, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    order = np.argsort(held, kind="stable")
+    grams, first = np.unique(held[order], return_index=True)
+    norms = np.sqrt(np.maximum(1, [len(x) for x in sets]))
+    model = Model(grams, np.r_[first, len(held)], of[order], norms, sorted(set(languages)))
+    values, vectors = np.linalg.eigh(model.kernel([texts[i] for i in chosen]) + 1e-6 * np.eye(len(chosen)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = c @ root
-    y = np.zeros((len(texts), len(model.languages)))
-    y[np.arange(len(texts)), np.searchsorted(np.array(model.languages), np.array(languages))] = 1
-    bias = y.mean(0)
-    beta = np.linalg.solve(z.T @ z + ridge * len(texts) / 100 * np.eye(z.shape[1]), z.T @ (y - bias))
-    # The landmarks' kernel is linear in presence, so their coefficients fold into one weight for each n-gram.
-    model.weights = (x.T @ (root @ beta)).astype(np.float32)
-    model.bias = bias
+    number = np.searchsorted(np.array(model.languages), np.array(languages))
+    model.bias = np.bincount(number, minlength=len(model.languages)) / len(texts)
+    left, right = np.zeros((len(chosen), len(chosen))), np.zeros((len(chosen), len(model.languages)))
+    for i in range(0, len(texts), 256):
+        z = model.kernel(texts[i : i + 256]) @ root
+        y = np.tile(-model.bias, (len(z), 1))
+        y[np.arange(len(z)), number[i : i + 256]] += 1
+        left += z.T @ z
+        right += z.T @ y
+    model.coefficients = root @ np.linalg.solve(left + ridge * len(texts) / 100 * np.eye(len(chosen)), right)
+    model.fold()
     return model
 
 
@@ -121,13 +158,21 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 200, ridge: flo
 LEAST_ROWS, MOST_LANGUAGES = 10, 50_000
 
 
-def training_rows(documents: DataFrame, learn: Column, rows: int = 2000) -> list[tuple[str, str]]:
+#: Texts of the sample have together about so many bytes at most, by fewer rows; one text of more than LONGEST bytes teaches nothing.
+MOST_BYTES, LONGEST = 48 << 20, 4 << 20
+
+
+def training_rows(documents: DataFrame, learn: Column, rows: int = 2000, most_bytes: int = MOST_BYTES) -> list[tuple[str, str]]:
     """About `rows` whole texts with their lang, or LEAST_ROWS of each language if that is more, of the rows that may be
-    learnt from: as many of each language as there are, by hash of doc_id and text, for fitting alone. Sorted by lang."""
-    pool = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = materialize(pool.groupBy("lang").count())
+    learnt from: as many of each language as there are, by hash of doc_id and text, for fitting alone; fewer of each where
+    they would have more than most_bytes together. Sorted by lang."""
+    size = F.octet_length("text")
+    pool = documents.where(learn & F.col("lang").isNotNull() & (size <= LONGEST)).select("doc_id", "text", "lang")
+    counts = materialize(pool.groupBy("lang").agg(F.count("*").alias("count"), F.sum(size).alias("bytes")))
     each = max(LEAST_ROWS, rows // max(1, counts.count()))
-    shares = small(counts.select("lang", (F.lit(each) / F.col("count")).alias("share")), MOST_LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(each) / F.col("count"))
+    less = min(1.0, most_bytes / max(1.0, counts.agg(F.sum(share * F.col("bytes"))).first()[0] or 1.0))
+    shares = small(counts.select("lang", (share * less).alias("share")), MOST_LANGUAGES)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     sample = pool.join(shares, "lang").where(place < F.col("share")).select("lang", "text").collect()
     discard(counts)
@@ -172,7 +217,7 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str], batch_r
                 has = np.array([bool(letter[_codes(t)].any()) for t in texts])
                 lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if m is not None and has.any():
-                    s = m.features([t for t, h in zip(texts, has) if h], flags) @ m.weights + m.bias
+                    s = m.scores([t for t, h in zip(texts, has) if h], flags)
                     lang[has] = np.array(m.languages, object)[s.argmax(1)]
                     score[has] = np.clip(s.max(1), 0, 1)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])

@@ -207,3 +207,42 @@ def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
     toxicity.train(docs, labels, F.lit(True), most_bytes=40_000)
     toxicity.train(docs, labels, F.lit(True))
     assert 20_000 < sum(map(len, taken[0])) < 60_000 and len(taken[1]) == 400
+
+
+def test_folded_weights_and_landmarks_give_the_same_scores(monkeypatch):
+    import numpy as np
+
+    texts = ["the cat sat on the mat", "Der Hund und die Katze", "the dog ran off", "die Maus, und das Haus"] * 5
+    asked = ["the cat ran", "und die Maus", "漢字 only", "x", ""]
+    folded = langid.fit(texts, ["en", "de"] * 10, landmarks=9)
+    monkeypatch.setattr(langid, "MOST_WEIGHTS", 0)
+    plain = langid.fit(texts, ["en", "de"] * 10, landmarks=9)
+    assert folded.weights is not None and plain.weights is None
+    assert np.abs(folded.scores(asked) - plain.scores(asked)).max() < 1e-5
+
+
+def test_many_languages_of_a_large_script_fit_in_bounded_memory():
+    import pickle
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    names = [f"l{i:03d}" for i in range(300)]
+    words = {n: ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(2)) for _ in range(120)] for n in names}
+    texts, languages = zip(*[(" ".join(rng.choice(words[n]) for _ in range(150)), n) for n in names for _ in range(8)])
+    langid._letters()
+    tracemalloc.start()
+    model = langid.fit(list(texts), list(languages), 600)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and len(pickle.dumps(model)) < 100 << 20
+    asked = [" ".join(rng.choice(words[n]) for _ in range(40)) for n in names]
+    right = [model.languages[i] == n for i, n in zip(model.scores(asked).argmax(1), names)]
+    assert sum(right) > 290
+
+
+def test_language_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} " * 50, "en" if i % 3 else "de") for i in range(600)], "doc_id long, text string, lang string")
+    few = langid.training_rows(docs, F.lit(True), most_bytes=60_000)
+    assert 30_000 < sum(len(t) for t, _ in few) < 100_000 and {lang for _, lang in few} == {"de", "en"}
+    assert len(langid.training_rows(docs, F.lit(True))) == 600
