@@ -218,21 +218,25 @@ def _trained(ordinary: list[list[bytes]], toxic: list[list[bytes]], size: int, s
 
 
 def _dictionaries(texts: list[str], toxic: list[int]) -> Dictionaries:
-    kinds = [[t for t, y in zip(texts, toxic) if y == k] for k in (0, 1)]
-    words = _trained(*[[[s for w in sorted(_words(t)) for s in _windows(w)] for t in kind] for kind in kinds], WORD_BYTES[1], WORD_BYTES[:1], False)
-    stems = _trained(*[[[s for w in _running(t) for s in _windows(w, LONG)] for t in kind] for kind in kinds], STEM_BYTES[1], STEM_BYTES[:1], True)
-    numbers = [[_phrases(np.array([_code(w) for w in _running(t)], np.uint64)).tolist() for t in kind] for kind in kinds]
+    # Words and phrases recur: each is kept and spelled once.
+    same: dict[str, str] = {}
+    read = [[same.setdefault(w, w) for w in _running(t)] for t in texts]
+    kinds = [[t for t, y in zip(read, toxic) if y == k] for k in (0, 1)]
+    short, long, code = {w: _windows(w) for w in same}, {w: _windows(w, LONG) for w in same}, {w: _code(w) for w in same}
+    words = _trained(*[[[s for w in sorted(set(t)) for s in short[w]] for t in kind] for kind in kinds], WORD_BYTES[1], WORD_BYTES[:1], False)
+    stems = _trained(*[[[s for w in t for s in long[w]] for t in kind] for kind in kinds], STEM_BYTES[1], STEM_BYTES[:1], True)
+    numbers = [[_phrases(np.array([code[w] for w in t], np.uint64)).tolist() for t in kind] for kind in kinds]
     # One text's phrase tells nothing: those that recur in toxic texts train.
     recur = Counter(p for t in numbers[1] for p in set(t))
     numbers[1] = [[p for p in t if recur[p] > 1] for t in numbers[1]]
-    spelled = [[[_spelled_phrase(p) for p in t] for t in kind] for kind in numbers]
-    plain, bad = _trained(*spelled, ORDINARY_PHRASES, PHRASE_BYTES, True)
+    spelled = {p: _spelled_phrase(p) for p in {p for kind in numbers for t in kind for p in t}}
+    plain, bad = _trained(*[[[spelled[p] for p in t] for t in kind] for kind in numbers], ORDINARY_PHRASES, PHRASE_BYTES, True)
     # A phrase of no toxic text is not in a toxic dictionary and saves nothing.
     asked = sorted({p for t in numbers[1] for p in t})
 
     def takes(data: bytes) -> np.ndarray:
         packer = _packer(data)
-        return np.array([len(packer.compress(_spelled_phrase(p))) for p in asked], np.int64)
+        return np.array([len(packer.compress(spelled[p])) for p in asked], np.int64)
 
     usual = takes(plain)
     hits = np.stack([usual - takes(data) >= PHRASE_HIT for data in bad], 1)
