@@ -82,6 +82,14 @@ def _spelled_phrase(phrase: int) -> bytes:
     return hashlib.md5(phrase.to_bytes(8, "little")).digest()
 
 
+def _spelled_phrases(phrases: np.ndarray) -> np.ndarray:
+    """The codes of many phrases, 16 bytes in a row."""
+    out = bytearray()
+    for at in range(0, len(phrases), 1 << 16):
+        out += b"".join(map(_spelled_phrase, phrases[at : at + (1 << 16)].tolist()))
+    return np.frombuffer(out, np.uint8).reshape(-1, 16)
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; of few samples their own bytes, which the library takes as one too."""
     try:
@@ -218,30 +226,38 @@ def _trained(ordinary: list[list[bytes]], toxic: list[list[bytes]], size: int, s
 
 
 def _dictionaries(texts: list[str], toxic: list[int]) -> Dictionaries:
-    # Words and phrases recur: each is kept and spelled once.
+    # Words and phrases recur: each is kept and spelled once. What one scale needs is let go before the next.
     same: dict[str, str] = {}
     read = [[same.setdefault(w, w) for w in _running(t)] for t in texts]
     kinds = [[t for t, y in zip(read, toxic) if y == k] for k in (0, 1)]
-    short, long, code = {w: _windows(w) for w in same}, {w: _windows(w, LONG) for w in same}, {w: _code(w) for w in same}
-    words = _trained(*[[[s for w in sorted(set(t)) for s in short[w]] for t in kind] for kind in kinds], WORD_BYTES[1], WORD_BYTES[:1], False)
-    stems = _trained(*[[[s for w in t for s in long[w]] for t in kind] for kind in kinds], STEM_BYTES[1], STEM_BYTES[:1], True)
-    numbers = [[_phrases(np.array([code[w] for w in t], np.uint64)).tolist() for t in kind] for kind in kinds]
+    spelled = {w: _windows(w) for w in same}
+    words = _trained(*[[[s for w in sorted(set(t)) for s in spelled[w]] for t in kind] for kind in kinds], WORD_BYTES[1], WORD_BYTES[:1], False)
+    spelled = {w: _windows(w, LONG) for w in same}
+    stems = _trained(*[[[s for w in t for s in spelled[w]] for t in kind] for kind in kinds], STEM_BYTES[1], STEM_BYTES[:1], True)
+    del spelled
+    code = {w: _code(w) for w in same}
+    numbers = [[_phrases(np.array([code[w] for w in t], np.uint64)) for t in kind] for kind in kinds]
+    del same, read, kinds, code
     # One text's phrase tells nothing: those that recur in toxic texts train.
-    recur = Counter(p for t in numbers[1] for p in set(t))
-    numbers[1] = [[p for p in t if recur[p] > 1] for t in numbers[1]]
-    spelled = {p: _spelled_phrase(p) for p in {p for kind in numbers for t in kind for p in t}}
-    plain, bad = _trained(*[[[spelled[p] for p in t] for t in kind] for kind in numbers], ORDINARY_PHRASES, PHRASE_BYTES, True)
+    different, texts_of = np.unique(np.concatenate([np.unique(t) for t in numbers[1]]), return_counts=True)
+    recur = different[texts_of > 1]
+    every = np.unique(np.concatenate(numbers[0]))
+    table = _spelled_phrases(every)
+    usual_phrases = [[table[np.searchsorted(every, t)].tobytes()] for t in numbers[0]]
     # A phrase of no toxic text is not in a toxic dictionary and saves nothing.
-    asked = sorted({p for t in numbers[1] for p in t})
+    asked = {p: _spelled_phrase(p) for p in recur.tolist()}
+    toxic_phrases = [[asked[p] for p in t[np.isin(t, recur)].tolist()] for t in numbers[1]]
+    del numbers, every, table
+    plain, bad = _trained(usual_phrases, toxic_phrases, ORDINARY_PHRASES, PHRASE_BYTES, True)
 
     def takes(data: bytes) -> np.ndarray:
         packer = _packer(data)
-        return np.array([len(packer.compress(spelled[p])) for p in asked], np.int64)
+        return np.array([len(packer.compress(x)) for x in asked.values()], np.int64)
 
     usual = takes(plain)
     hits = np.stack([usual - takes(data) >= PHRASE_HIT for data in bad], 1)
     keep = hits.any(1)
-    return Dictionaries((words[1][0], words[0]), (stems[1][0], stems[0]), np.array(asked, np.uint64)[keep], hits[keep].astype(np.int64))
+    return Dictionaries((words[1][0], words[0]), (stems[1][0], stems[0]), recur[keep], hits[keep].astype(np.int64))
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
