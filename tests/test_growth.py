@@ -32,3 +32,10 @@ def test_caps_read_no_whole_domain(spark):
     want = df.withColumn("i", order).where((F.col("i") <= 500) | ((F.col("label") == 0) & (F.col("i") <= 2000)))
     assert out.select("flow_key").exceptAll(want.select("flow_key")).count() == 0
     assert "(_b#" in (plan := out._jdf.queryExecution().analyzed().toString()) and "<= _last#" in plan
+
+
+def test_no_join_of_rows_to_themselves(spark, sf_dir):
+    plan = catalog.QUERIES["scaler_roundtrip"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # lineitem with orders, for the rows and for the scaler
+    shown = catalog.QUERIES["shap_beeswarm"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in shown
