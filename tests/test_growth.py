@@ -39,3 +39,14 @@ def test_no_join_of_rows_to_themselves(spark, sf_dir):
     assert plan.count("Join Inner") == 2  # lineitem with orders, for the rows and for the scaler
     shown = catalog.QUERIES["shap_beeswarm"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in shown
+
+
+def test_rules_read_counts_of_equal_rows(rows, monkeypatch):
+    """What the steps read has a row for each combination of bins, however many rows lie there."""
+    sizes = []
+    keep = explain.written
+    monkeypatch.setattr(explain, "written", lambda df, name: sizes.append((out := keep(df, name)).count()) or out)
+    many = rows.select("a", "b", "label").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    found = explain.mine_rules(many, ["a", "b"], "label")
+    assert found
+    assert sizes[-1] <= 12 * 9
