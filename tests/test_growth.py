@@ -50,3 +50,10 @@ def test_rules_read_counts_of_equal_rows(rows, monkeypatch):
     found = explain.mine_rules(many, ["a", "b"], "label")
     assert found
     assert sizes[-1] <= 12 * 9
+
+
+def test_windows_are_one_product():
+    """A place that pooling leaves out isn't worked out: 13 columns have 11 windows, of which pooling takes 10."""
+    net = networks.Network.fresh(13, (3, 4), 5)
+    _, (seen, *_) = net._layers(np.zeros((7, 13)))
+    assert [w.shape for w, *_ in seen] == [(7 * 10, 3), (7 * 2, 9)]
