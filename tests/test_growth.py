@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowguard.operators import explain, models, networks, sampling
+from flowguard.operators import explain, forests, models, networks, sampling
 from flowguard.plans import catalog
 
 COLUMNS = ["a", "b", "c"]
@@ -22,6 +22,48 @@ def rows(spark):
     return spark.createDataFrame(made, "flow_key string, a double, b double, c double, label int").persist()
 
 
+def test_large_nodes_split_by_level_give_the_same_forest(rows, monkeypatch):
+    """Splitting nodes of many rows over all tasks, and the rest in one, is the same as growing each tree in one."""
+    one = models.forest_fit(rows, COLUMNS, trees=5, depth=9)
+    monkeypatch.setattr(forests, "LOCAL", 200)
+    two = models.forest_fit(rows, COLUMNS, trees=5, depth=9)
+    assert one.totalNumNodes == two.totalNumNodes > 100
+    both = models.forest_proba(models.forest_proba(rows, one, COLUMNS, "p"), two, COLUMNS, "q")
+    assert both.where("abs(p - q) > 1e-12").count() == 0
+    assert models.measures(models.forest_proba(rows, two, COLUMNS), "p_rf")["auc"] > 0.97
+    # depth ends the upper part too
+    assert all(t.depth <= 2 for t in models.forest_fit(rows, COLUMNS, trees=3, depth=2).trees)
+
+
+def test_forest_does_not_depend_on_partitions(rows):
+    one, two = (models.forest_fit(rows.repartition(n), COLUMNS, trees=4, depth=6) for n in (1, 13))
+    both = models.forest_proba(models.forest_proba(rows, one, COLUMNS, "p"), two, COLUMNS, "q")
+    assert both.where("p <> q").count() == 0
+
+
+def test_a_null_feature_is_refused(rows):
+    with pytest.raises(Exception, match="null or NaN"):
+        models.forest_fit(rows.withColumn("a", F.when(F.col("a") > 0, F.col("a"))), COLUMNS, trees=2, depth=2)
+
+
+def test_windows_are_one_product():
+    """A place that pooling leaves out isn't worked out: 13 columns have 11 windows, of which pooling takes 10."""
+    net = networks.Network.fresh(13, (3, 4), 5)
+    _, (seen, *_) = net._layers(np.zeros((7, 13)))
+    assert [w.shape for w, *_ in seen] == [(7 * 10, 3), (7 * 2, 9)]
+
+
+def test_rules_read_counts_of_equal_rows(rows, monkeypatch):
+    """What the steps read has a row for each combination of bins, however many rows lie there."""
+    sizes = []
+    keep = explain.written
+    monkeypatch.setattr(explain, "written", lambda df, name: sizes.append((out := keep(df, name)).count()) or out)
+    many = rows.select("a", "b", "label").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    found = explain.mine_rules(many, ["a", "b"], "label")
+    assert found
+    assert sizes[-1] <= 12 * 9
+
+
 def test_caps_read_no_whole_domain(spark):
     """Only rows up to the hash digits that reach a cap are ranked; a null domain is one."""
     df = spark.range(60_000).select(F.col("id").cast("string").alias("flow_key"), F.when(F.col("id") % 5 > 0, "x").alias("domain"), (F.col("id") % 3 == 0).cast("int").alias("label"))
@@ -39,21 +81,3 @@ def test_no_join_of_rows_to_themselves(spark, sf_dir):
     assert plan.count("Join Inner") == 2  # lineitem with orders, for the rows and for the scaler
     shown = catalog.QUERIES["shap_beeswarm"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in shown
-
-
-def test_rules_read_counts_of_equal_rows(rows, monkeypatch):
-    """What the steps read has a row for each combination of bins, however many rows lie there."""
-    sizes = []
-    keep = explain.written
-    monkeypatch.setattr(explain, "written", lambda df, name: sizes.append((out := keep(df, name)).count()) or out)
-    many = rows.select("a", "b", "label").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    found = explain.mine_rules(many, ["a", "b"], "label")
-    assert found
-    assert sizes[-1] <= 12 * 9
-
-
-def test_windows_are_one_product():
-    """A place that pooling leaves out isn't worked out: 13 columns have 11 windows, of which pooling takes 10."""
-    net = networks.Network.fresh(13, (3, 4), 5)
-    _, (seen, *_) = net._layers(np.zeros((7, 13)))
-    assert [w.shape for w, *_ in seen] == [(7 * 10, 3), (7 * 2, 9)]
