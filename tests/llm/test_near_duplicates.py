@@ -218,3 +218,17 @@ def test_lines_near_the_limit_are_found(spark):
     got = linedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string"), 7, 80, short=True)
     found = got.where("doc_id % 2 = 1 and n_removed = 1").count()
     assert found >= 0.99 * pairs and got.where("doc_id % 2 = 0 and n_removed = 1").count() == 0
+
+
+def test_small_groups_give_only_linked_pairs(spark):
+    """In a group of up to PAIRED members shared residuals are counted pair by pair: no pair comes up that isn't linked, and none is lost."""
+    rng = random.Random(31)
+    base = list(range(200))
+    sets = [sorted({x if rng.random() > 0.07 else 1000 + rng.randrange(10**6) for x in base}) for _ in range(90)]
+    linked = {(i, j) for j in range(90) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+    assert 50 < len(linked) < 3000
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, s array<bigint>")
+    sure, pairs = components.residual_pairs(held.select(F.lit(0).alias("g"), "node", F.col("node").alias("c")), held, 80)
+    sure, pairs = ({(r["a"], r["b"]) for r in x.collect()} for x in (sure, pairs))
+    assert sure | pairs <= linked
+    assert union_find(range(90), sure | pairs) == union_find(range(90), linked)
