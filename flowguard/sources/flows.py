@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.functions.schema import text_schema
-from flowguard.sources.scratch import paths
+from flowguard.sources.scratch import open_folders, paths
 
 #: What the bytes 80 to 9F mean in the Windows code page, as their Unicode characters; five are unused.
 CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
@@ -56,12 +56,14 @@ def first_existing(spark: SparkSession, candidates: list[str]) -> str:
 
 def write_mapped(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """The mapped table, one folder for each domain."""
-    df.write.mode("overwrite").partitionBy("domain").format(kind).save(path)
+    with open_folders(df.sparkSession):
+        df.write.mode("overwrite").partitionBy("domain").format(kind).save(path)
 
 
 def write_matrices(df: DataFrame, path: str) -> None:
     """Features, label and split of every row."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    with open_folders(df.sparkSession):
+        df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

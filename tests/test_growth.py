@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from flowguard.operators import explain, forests, models, networks, sampling
 from flowguard.plans import catalog
+from flowguard.sources import flows
+from flowguard.sources.scratch import fresh_path
 
 COLUMNS = ["a", "b", "c"]
 
@@ -81,3 +83,18 @@ def test_no_join_of_rows_to_themselves(spark, sf_dir):
     assert plan.count("Join Inner") == 2  # lineitem with orders, for the rows and for the scaler
     shown = catalog.QUERIES["shap_beeswarm"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in shown
+
+
+def test_folders_are_written_without_a_sort(spark):
+    """A task doesn't hold all its rows to sort them by folder; with more folders than stay open the rows are whole too."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    for many, write in ((3, flows.write_mapped), (40, flows.write_mapped), (3, flows.write_matrices)):
+        name = "domain" if write is flows.write_mapped else "split"
+        df = spark.range(4_000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("d/"), F.col("id") % many)).alias(name))
+        path = fresh_path(spark, "folders")
+        write(df, path)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(store.executionsList().size())]
+        assert "Sort" not in next(p for p in reversed(plans) if path in p)
+        assert df.exceptAll(spark.read.parquet(path)).count() == 0 and spark.read.parquet(path).count() == 4_000
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
