@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -242,3 +243,38 @@ def test_union_find_runs_no_job_to_count_its_edges(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("union-find"))
     spark.sparkContext.setJobGroup("rest", "rest")
     assert jobs < 60 and {r.component for r in found.collect()} == {0}
+
+
+def test_a_text_is_hashed_once_not_once_a_line(spark):
+    """Beside posexplode the hash of the text was worked out for every line, the square of a long text's length."""
+    lines = linedup.lines_of(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), 7, 1)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(text" in plan and "xxhash64(text" not in plan[: plan.index("Generate")]
+
+
+def test_sets_of_shingles_are_of_code_points(spark):
+    """A line's set has as many elements as it has distinct shingles, in characters beyond 16 bits too; those that are too short have none."""
+    rows = ["abcdefgabcdefg", "\U0001f600\U0001f601bcdef\U0001f600\U0001f601bcdef", "\u00e4\u4e2d" * 9, "abcdef", "\U0001f600" * 6, "x" * 50]
+    frame = spark.createDataFrame(list(enumerate(rows)), "node long, s string").select("node", linedup.shingle_set(F.col("s"), 7).alias("x"))
+    want = {i: len({t[j : j + 7] for j in range(len(t) - 6)}) for i, t in enumerate(rows)}
+    assert {r.node: len(r.x or []) for r in frame.collect()} == want
+
+
+def test_shuffles_of_the_signatures_go_before_the_search(spark, monkeypatch):
+    """They are larger than the documents and stayed beside the search's own ones."""
+    left = []
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return [b for b in (blocks.apply(i).name() for i in range(blocks.size())) if b.startswith("shuffle_")]
+
+    def search(members, real=linedup.live_members):
+        until = time.time() + 5
+        while shuffles() and time.time() < until:
+            time.sleep(0.2)
+        left.append(shuffles())
+        return real(members)
+
+    monkeypatch.setattr(linedup, "live_members", search)
+    docs = spark.createDataFrame([(i, f"a line of some length {i // 2}\nanother line {i}") for i in range(40)], "doc_id long, text string")
+    assert linedup.dedupe_lines(docs, 7, 80, short=True).count() == 40 and left == [[]]
