@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowguard.operators import explain, forests, models, networks, sampling
+from flowguard.operators import explain, features, forests, models, networks, sampling
 from flowguard.plans import catalog
 from flowguard.sources import flows
 from flowguard.sources.scratch import fresh_path
@@ -98,3 +98,35 @@ def test_folders_are_written_without_a_sort(spark):
         assert "Sort" not in next(p for p in reversed(plans) if path in p)
         assert df.exceptAll(spark.read.parquet(path)).count() == 0 and spark.read.parquet(path).count() == 4_000
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_splits_read_whole_rows_once(spark):
+    """Rows are marked against a cut: neither split ranks or sorts whole rows, and a row is read once. Keys that repeat at a cut still give exact shares."""
+    rows = spark.range(5_000).select(F.col("id").cast("string").alias("flow_key"), (F.col("id") % 3).cast("int").alias("label"), F.rand(1).alias("a"))
+    for made, n in ((sampling.split_stratified(rows), 1), (sampling.mark_tail(rows, ["flow_key"], 0.1), 1)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("Range (0, 5000") == n
+    want = {r.flow_key: r.part for r in sampling.split_tail(rows, ["flow_key"], 0.1).collect()}
+    assert {r.flow_key: r.part for r in sampling.mark_tail(rows, ["flow_key"], 0.1).collect()} == want
+    twice = rows.select(F.lit("k").alias("flow_key"), "label", "a")  # one key on both sides of every cut
+    assert sampling.mark_tail(twice, ["flow_key"], 0.1).where("part = 'validation'").count() == 500
+    assert {(r.label, r.split): r["count"] for r in sampling.split_stratified(twice).groupBy("label", "split").count().collect()} == {(i, s): {"test": 333, "train": n - 333}[s] for i, n in enumerate((1667, 1667, 1666)) for s in ("test", "train")}
+    assert sampling.mark_tail(rows.limit(3), ["flow_key"], 0.1).where("part = 'fit'").count() == 3
+    assert sampling.mark_tail(rows.limit(3), ["flow_key"], 1.0).where("part = 'validation'").count() == 3
+
+
+def test_scores_come_from_arrays(spark, rows, monkeypatch):
+    """Rows are scored from arrays of nodes, to the bit as MLlib scores them, and no forest is loaded into the driver for it; a copy scores the same."""
+    made = models.forest_fit(rows, COLUMNS, trees=7, depth=9)
+    path = fresh_path(spark, "copy")
+    models.save(made, path)
+    copy = models.load(path)
+    with monkeypatch.context() as m:
+        m.setattr(forests.PipelineModel, "load", None)
+        both = models.forest_proba(models.forest_proba(rows, made, COLUMNS, "p"), copy, COLUMNS, "q").persist()
+        assert both.where("p = q").count() == 3_000
+        with pytest.raises(Exception, match="null or NaN"):
+            models.forest_proba(rows.withColumn("a", F.lit(None).cast("double")), made, COLUMNS).collect()
+    assert "model" not in made.__dict__
+    want = copy.model.transform(features.assemble(both, COLUMNS))
+    assert want.where("prediction = p").count() == 3_000
