@@ -1,6 +1,7 @@
 """Steps whose work must not grow faster than their input: forests, gradients, rules, caps, joins."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -115,6 +116,17 @@ def test_splits_read_whole_rows_once(spark):
     assert sampling.mark_tail(rows.limit(3), ["flow_key"], 1.0).where("part = 'validation'").count() == 3
 
 
+def test_gradient_copies_no_windows():
+    """A window is a slice of the row before it: 512 rows need no copies of overlapping windows."""
+    rng = np.random.default_rng(1)
+    net = networks.Network.fresh(28).as_type(np.float32)
+    x, y = rng.normal(size=(512, 28)).astype(np.float32), (rng.random(512) > 0.5).astype(float)
+    tracemalloc.start()
+    net.gradient(x, y)
+    assert tracemalloc.get_traced_memory()[1] < 15e6  # before: 20 MB
+    tracemalloc.stop()
+
+
 def test_scores_come_from_arrays(spark, rows, monkeypatch):
     """Rows are scored from arrays of nodes, to the bit as MLlib scores them, and no forest is loaded into the driver for it; a copy scores the same."""
     made = models.forest_fit(rows, COLUMNS, trees=7, depth=9)
